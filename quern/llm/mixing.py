@@ -63,7 +63,8 @@ def flight(pi: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def landing(pi: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The few probabilities that are still fractional, rounded so that the tokens stay closest to their expectation."""
+    """The few probabilities that are still fractional, rounded so that the tokens stay closest to their expectation; then
+    one record taken and one left are exchanged if that brings the tokens closer still."""
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
     if not len(open_):
         return pi
@@ -72,6 +73,17 @@ def landing(pi: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     off = np.abs(choices @ tokens[open_] - want) + 1e-9 * np.abs(choices.sum(1) - docs)
     out = pi.copy()
     out[open_] = choices[off.argmin()]
+    excess = float(choices[off.argmin()] @ tokens[open_] - want)
+    taken, rest = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+    if len(taken) and len(rest):
+        rest = rest[np.argsort(tokens[rest], kind="stable")]
+        aim = tokens[taken] - excess
+        at = np.clip(np.searchsorted(tokens[rest], aim), 1, len(rest)) - 1
+        at = np.where((at + 1 < len(rest)) & (np.abs(tokens[rest[np.minimum(at + 1, len(rest) - 1)]] - aim) < np.abs(tokens[rest[at]] - aim)), at + 1, at)
+        gap = np.abs(tokens[rest[at]] - aim)
+        k = int(gap.argmin())
+        if gap[k] < abs(excess):
+            out[taken[k]], out[rest[at[k]]] = 0.0, 1.0
     return out
 
 

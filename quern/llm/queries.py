@@ -2,10 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, splits, tokenizer
+from quern.llm import mixing, neardup, secrets, splits, tokenizer
 from quern.sources.tables import table
 
 
+def p2_found(spark, sf_dir):
+    return secrets.found(table(spark, sf_dir, "source_files"))
+
+
+def p2_findings(spark, sf_dir):
+    return secrets.findings(table(spark, sf_dir, "source_files"))
+
+
+def p2_redacted(spark, sf_dir):
+    return secrets.redacted(table(spark, sf_dir, "source_files"))
+
+
 def p3_found(spark, sf_dir):
     return splits.groups(table(spark, sf_dir, "texts"), table(spark, sf_dir, "families"))
 
@@ -22,6 +34,14 @@ def p3_contradictions(spark, sf_dir):
     return splits.contradictions(table(spark, sf_dir, "texts"), table(spark, sf_dir, "families"))
 
 
+def p5_found(spark, sf_dir):
+    return neardup.found(table(spark, sf_dir, "texts"))
+
+
+def p5_report(spark, sf_dir):
+    return neardup.report(table(spark, sf_dir, "texts"))
+
+
 def p6_ids(spark, sf_dir):
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
