@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, neardup, secrets, splits, tokenizer
+from quern.llm import language, mixing, neardup, secrets, splits, tokenizer
 from quern.sources.tables import table
 
 
@@ -66,6 +66,19 @@ def p7_shares(spark, sf_dir):
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_found(spark, sf_dir):
+    return language.found(table(spark, sf_dir, "documents"))
+
+
+def p8_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.segments(docs, language.fit_on(docs))
+
+
+def p8_report(spark, sf_dir):
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: call for name, call in list(globals().items()) if name[:1] == "p" and name[1:2].isdigit()}
 
 _FOLD = r"trim(regexp_replace(lower(nfc_normalize({c})), '\s+', ' ', 'g'))"
