@@ -177,14 +177,14 @@ def _worn(sentence: str, rng: np.random.Generator) -> str:
     return sentence
 
 
-def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> ByteCnn:
-    """A network for (text, language) samples. Documents that the first pass contradicts are left out of the others."""
+def train(samples: list[tuple[list[str], str]], epochs: int = EPOCHS) -> ByteCnn:
+    """A network for samples of (sentences of a document, language). Documents that the first pass contradicts are left out
+    of the others."""
     rng = np.random.default_rng(SEED)
     data, label, doc = [], [], []
-    for i, (text, lang) in enumerate(samples):
-        own = sentences(text)
-        for k in rng.permutation(len(own))[:TRAIN_SENTENCES]:
-            for w in windows_of(plain(_worn(own[k], rng)))[:2]:
+    for i, (own, lang) in enumerate(samples):
+        for sentence in own:
+            for w in windows_of(plain(_worn(sentence, rng)))[:2]:
                 data.append(w)
                 label.append(LANGUAGES.index(lang))
                 doc.append(i)
@@ -201,26 +201,38 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> ByteCnn:
     return ByteCnn().fit(x[agreed], y[agreed], epochs)
 
 
+def drawn_sentences(text: str, seed: int) -> list[str]:
+    own = sentences(text)
+    return [own[k] for k in np.random.default_rng(abs(seed)).permutation(len(own))[:TRAIN_SENTENCES]]
+
+
 @pandas_udf(StringType())
 def _label(values: pd.Series) -> pd.Series:
     known = {v: label_language(v) for v in values.dropna().unique()}
     return values.map(known).astype(object).where(values.notna(), None)
 
 
-def draw_samples(docs: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """At most per_language labelled texts of each language, drawn by hash of doc_id; two jobs."""
+def draw_samples(docs: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[list[str], str]]:
+    """(sentences, language) of at most per_language labelled texts of each language, drawn by hash of doc_id, with
+    TRAIN_SENTENCES sentences from anywhere in each; two jobs."""
     labelled = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), _label(docs["lang"]).alias("language")).where("language is not null and length(text) >= 60")
     counts = {r["language"]: r["count"] for r in labelled.groupBy("language").count().collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("language") == lang, F.lit(min(1.0, 1.2 * per_language / n))).otherwise(share)
     spread = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) / 1e6
-    rows = labelled.where(spread < share).select("language", F.xxhash64("doc_id", F.lit(SEED)).alias("h"), F.substring("text", 1, 4000).alias("text")).limit(len(LANGUAGES) * per_language * 2).collect()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            yield pd.DataFrame({"language": df["language"], "h": df["h"], "own": [drawn_sentences(t, int(h)) for t, h in zip(df["text"], df["h"])]})
+
+    drawn = labelled.where(spread < share).select("language", F.xxhash64("doc_id", F.lit(SEED)).alias("h"), "text").mapInPandas(run, "language string, h bigint, own array<string>")
+    rows = drawn.limit(len(LANGUAGES) * per_language * 2).collect()
     out, taken = [], dict.fromkeys(LANGUAGES, 0)
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["h"], r["own"])):
         if taken[r["language"]] < per_language:
             taken[r["language"]] += 1
-            out.append((r["text"], r["language"]))
+            out.append((r["own"], r["language"]))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.llm import language, mixing, neardup, secrets, splits, tokenizer
+from quern.llm import language, mixing, neardup, pairs, secrets, splits, tokenizer
 from quern.sources.tables import table
 
 
@@ -34,6 +34,18 @@ def p3_contradictions(spark, sf_dir):
     return splits.contradictions(table(spark, sf_dir, "texts"), table(spark, sf_dir, "families"))
 
 
+def p4_found(spark, sf_dir):
+    return pairs.found(table(spark, sf_dir, "cognitive_traces"), table(spark, sf_dir, "documents"))
+
+
+def p4_flags(spark, sf_dir):
+    return pairs.flags(table(spark, sf_dir, "cognitive_traces"), table(spark, sf_dir, "documents"))
+
+
+def p4_report(spark, sf_dir):
+    return pairs.report(table(spark, sf_dir, "cognitive_traces"), table(spark, sf_dir, "documents"))
+
+
 def p5_found(spark, sf_dir):
     return neardup.found(table(spark, sf_dir, "texts"))
 
