@@ -38,9 +38,13 @@ def canonical_json(values: pd.Series) -> pd.Series:
 
 def simhash64(shingles: Column) -> Column:
     """64-bit SimHash (Charikar 2002) of an array of strings, every occurrence counted; null for an empty array."""
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)) > 0, F.shiftleft(F.lit(1).cast("bigint"), i.cast("int"))).otherwise(F.lit(0).cast("bigint")))
-    return F.when(F.size(shingles) > 0, F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)))
+    powers = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)]
+
+    def fold(hashes: Column) -> Column:
+        votes = F.aggregate(hashes, F.array(*[F.lit(0)] * 64), lambda a, h: F.transform(a, lambda v, i: v + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
+        return F.aggregate(F.zip_with(votes, F.array(*powers), lambda v, p: F.when(v > 0, p).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+    return F.when(F.size(shingles) > 0, F.element_at(F.transform(F.array(F.transform(shingles, lambda s: F.xxhash64(s))), fold), 1))
 
 
 def hamming(a: Column, b: Column) -> Column:
