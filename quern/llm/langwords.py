@@ -6,6 +6,7 @@ for every language that has it, weighted by how few have it; the judge returns a
 
 import re
 import unicodedata
+from functools import lru_cache
 
 #: Function words by language.
 WORDS = {
@@ -67,28 +68,33 @@ def label_language(label: str | None) -> str | None:
     return None
 
 
-def scores(text: str) -> dict[str, float]:
+@lru_cache(maxsize=200_000)
+def _token_scores(token: str) -> tuple[float, ...]:
     out = dict.fromkeys(LANGUAGES, 0.0)
-    for token in _TOKEN.findall(text.lower().replace("’", "'")):
-        parts = token.split("'")
-        for head in parts[:-1]:
-            for lang in _ELISION.get(head, ()):
-                out[lang] += 1.0 / len(_ELISION[head])
-        word = parts[-1]
-        if word == "s" and len(parts) > 1:
-            out["en"] += 1.0
-            continue
-        weight = _WEIGHT.get(word)
-        if weight:
-            for lang, words in _LISTS.items():
-                if word in words:
-                    out[lang] += weight
-        if len(word) > 3:
-            for langs, shape in _SHAPES:
-                if shape.search(word):
-                    for lang in langs:
-                        out[lang] += 0.5 / len(langs)
-    return out
+    parts = token.split("'")
+    for head in parts[:-1]:
+        for lang in _ELISION.get(head, ()):
+            out[lang] += 1.0 / len(_ELISION[head])
+    word = parts[-1]
+    if word == "s" and len(parts) > 1:
+        out["en"] += 1.0
+        return tuple(out.values())
+    weight = _WEIGHT.get(word)
+    if weight:
+        for lang, words in _LISTS.items():
+            if word in words:
+                out[lang] += weight
+    if len(word) > 3:
+        for langs, shape in _SHAPES:
+            if shape.search(word):
+                for lang in langs:
+                    out[lang] += 0.5 / len(langs)
+    return tuple(out.values())
+
+
+def scores(text: str) -> dict[str, float]:
+    found = [_token_scores(t) for t in _TOKEN.findall(text.lower().replace("’", "'"))]
+    return dict(zip(LANGUAGES, map(sum, zip(*found)))) if found else dict.fromkeys(LANGUAGES, 0.0)
 
 
 def judge(text: str, lead: float = 1.15, least: float = 1.0) -> str | None:
