@@ -82,7 +82,7 @@ def _orphans_of_range(pdf: pd.DataFrame) -> pd.DataFrame:
             cause = np.where(missing, "missing", np.where(gone[left], "deleted", "late"))
             out.append(pd.DataFrame({"key": [keys[i] for i in left], "child_table": name, "month": month, "cause": cause, "first_us": np.where(missing, 0, first[left])}))
     if not out:
-        return pd.DataFrame({"key": [], "child_table": [], "month": [], "cause": [], "first_us": np.zeros(0, dtype=np.int64)})
+        return pd.DataFrame(columns=["key", "child_table", "month", "cause", "first_us"], dtype=object)
     return pd.concat(out, ignore_index=True)
 
 
