@@ -30,8 +30,8 @@ from quern.llm.langwords import LANGUAGES, label_language
 WINDOW = 112
 STRIDE = 80
 EMBED = 12
-WIDTHS = (2, 3, 4, 5)
-FILTERS = 28
+WIDTHS = (2, 3, 4)
+FILTERS = 32
 #: Documents of each language that the network is fitted on, at most, and sentences of each.
 TRAIN_DOCS = 500
 TRAIN_SENTENCES = 6
@@ -41,7 +41,7 @@ CHANGE = 3.0
 SEED = 11
 
 _FENCE = re.compile(r"^\s*(```|~~~).*?^\s*\1[^\n]*$", re.S | re.M)
-_ASIDE = re.compile(r"`[^`\n]*`|https?://\S+|\S+@\S+\.\w+|<[^<>\n]*>|(?<![^\W_])(?=\w*\d)\w{6,}(?![^\W_])")
+_ASIDE = re.compile(r"`[^`\n]*`|https?://\S+|\S+@\S+\.\w+|<[^<>\n]*>|(?<![^\W_])(?=\w*\d)\w{6,}(?![^\W_])|[\"“«„][^\"“”«»„\n]{1,40}[\"”»“]")
 _TABLE = re.compile(r"^\s*\|.*$|^[^\w\n]*$", re.M)
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬­]\s*\n\s*(?=[^\W\d_])")
 _WRAP = re.compile(r"(?<=[^\s.!?:;…])[^\S\n]*\n[^\S\n]*(?=[a-zà-öø-ÿ(])")
@@ -99,34 +99,44 @@ class ByteCnn:
         self.p["out"] = rng.normal(0, (1 / wide) ** 0.5, (wide, len(LANGUAGES))).astype(np.float32)
         self.p["bias"] = np.zeros(len(LANGUAGES), dtype=np.float32)
 
-    def _features(self, x: np.ndarray, keep: bool):
+    def _features(self, x: np.ndarray):
+        """Largest response of each filter over a batch of windows of equal length, with its place; padding takes no part."""
         embedded = self.p["embed"][x]
+        last = (x != 0).sum(axis=1)
         pooled, kept = [], []
         for w in WIDTHS:
             steps = WINDOW - w + 1
-            view = np.lib.stride_tricks.sliding_window_view(embedded.reshape(len(x), -1), w * EMBED, axis=1)[:, :: EMBED]
-            response = np.ascontiguousarray(view).reshape(-1, w * EMBED) @ self.p[f"w{w}"]
-            response = response.reshape(len(x), steps, FILTERS)
-            if keep:
-                at = response.argmax(axis=1)
-                best = np.take_along_axis(response, at[:, None], axis=1)[:, 0] + self.p[f"b{w}"]
-                kept.append(at)
-            else:
-                best = response.max(axis=1) + self.p[f"b{w}"]
-            pooled.append(best)
+            view = np.lib.stride_tricks.sliding_window_view(embedded.reshape(len(x), -1), w * EMBED, axis=1)[:, ::EMBED]
+            response = (np.ascontiguousarray(view).reshape(-1, w * EMBED) @ self.p[f"w{w}"]).reshape(len(x), steps, FILTERS)
+            response[np.arange(steps)[None, :] > np.maximum(last - w, 0)[:, None]] = -np.inf
+            at = response.argmax(axis=1)
+            pooled.append(np.take_along_axis(response, at[:, None], axis=1)[:, 0] + self.p[f"b{w}"])
+            kept.append(at)
         return np.concatenate(pooled, axis=1), kept, embedded
 
-    def log_probabilities(self, x: np.ndarray, batch: int = 192) -> np.ndarray:
+    def log_probabilities(self, windows: list[bytes], batch: int = 256) -> np.ndarray:
+        """One row for each window. Windows are laid end to end and filtered as one stream, so no padding is computed; each
+        takes the largest responses that lie wholly inside it."""
         parts = []
-        for i in range(0, len(x), batch):
-            features, _, _ = self._features(x[i : i + batch], False)
-            z = np.maximum(features, 0) @ self.p["out"] + self.p["bias"]
+        for i in range(0, len(windows), batch):
+            part = [w.ljust(max(WIDTHS), b"\0") for w in windows[i : i + batch]]
+            size = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+            first = np.cumsum(size) - size
+            embedded = self.p["embed"][np.frombuffer(b"".join(part), dtype=np.uint8)].ravel()
+            pooled = []
+            for w in WIDTHS:
+                view = np.lib.stride_tricks.sliding_window_view(embedded, w * EMBED)[::EMBED]
+                response = np.ascontiguousarray(view) @ self.p[f"w{w}"]
+                cuts = np.stack([first, np.minimum(first + size - w + 1, len(response))], axis=1).ravel()
+                cuts = cuts[:-1] if cuts[-1] >= len(response) else cuts
+                pooled.append(np.maximum.reduceat(response, cuts, axis=0)[::2] + self.p[f"b{w}"])
+            z = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.p["out"] + self.p["bias"]
             z -= z.max(axis=1, keepdims=True)
             parts.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
         return np.concatenate(parts) if parts else np.zeros((0, len(LANGUAGES)), dtype=np.float32)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        features, kept, embedded = self._features(x, True)
+        features, kept, embedded = self._features(x)
         mask = (rng.random(features.shape) > 0.3).astype(np.float32) / 0.7
         active = np.maximum(features, 0) * mask
         z = active @ self.p["out"] + self.p["bias"]
@@ -194,7 +204,7 @@ def train(samples: list[tuple[list[str], str]], epochs: int = EPOCHS) -> ByteCnn
     x, y, doc = as_array(data), np.array(label), np.array(doc)
     model.fit(x, y, 1)
     sums = np.zeros((len(samples), len(LANGUAGES)))
-    np.add.at(sums, doc, model.log_probabilities(x))
+    np.add.at(sums, doc, model.log_probabilities(data))
     agreed = sums.argmax(axis=1)[doc] == y
     if agreed.mean() < 0.5:  # the first pass learnt nothing: keep everything
         agreed[:] = True
@@ -247,7 +257,7 @@ def classify(model: ByteCnn, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for w in windows_of(plain(unit)):
             data.append(w)
             owner.append(i)
-    each = model.log_probabilities(as_array(data)) if data else np.zeros((0, len(LANGUAGES)))
+    each = model.log_probabilities(data)
     total, mean, owner = np.zeros((len(units), len(LANGUAGES))), np.zeros((len(units), len(LANGUAGES))), np.array(owner, dtype=np.int64)
     np.add.at(total, owner, np.maximum(each, -12))
     np.add.at(mean, owner, np.exp(each))
