@@ -1,0 +1,159 @@
+"""Ranking, gates, folds and comparisons over scored rows."""
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.operators.topk import cosine
+
+
+def shrunk_ranking(runs: DataFrame, group: str, member: str, value: str, prior: float, weight: float = 5.0, least: int = 3, fine: str | None = None) -> DataFrame:
+    """Mean quality pulled to a prior: (sum + weight prior) / (n + weight); the fine cell if it has enough rows, else the coarse."""
+    coarse = runs.where(F.col(value).isNotNull()).groupBy(group, member).agg(((F.sum(value) + weight * prior) / (F.count("*") + weight)).alias("coarse"))
+    if fine is None:
+        return coarse.withColumnRenamed("coarse", "score")
+    cells = runs.where(F.col(value).isNotNull()).groupBy(group, fine, member).agg(((F.sum(value) + weight * prior) / (F.count("*") + weight)).alias("own"), F.count("*").alias("n"))
+    return cells.join(coarse, [group, member]).select(group, fine, member, F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("coarse")).alias("score"))
+
+
+def weighted_rank(rows: DataFrame, keys: list[str], member: str, weights: dict[str, float], k: int) -> DataFrame:
+    """The k best members of each key by a weighted sum; nulls count as 0, ties by name."""
+    score = sum((F.lit(w) * F.coalesce(F.col(c), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), member)
+    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def rank_changes(rows: DataFrame, keys: list[str], member: str, before: dict[str, float], after: dict[str, float]) -> DataFrame:
+    """Keys whose best member differs under two sets of weights."""
+    a = weighted_rank(rows, keys, member, before, 1).select(*keys, F.col(member).alias("was"))
+    b = weighted_rank(rows, keys, member, after, 1).select(*keys, F.col(member).alias("now"))
+    return a.join(b, keys).where("was <> now")
+
+
+def candidate_odds(scored: DataFrame, query: str, score: str, k: int, other: float = 0.35, sharpness: float = 4.0) -> DataFrame:
+    """Softmax over the k best candidates of a query and one stand-in for none of them."""
+    w = Window.partitionBy(query)
+    best = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), *[c for c in scored.columns if c not in (query, score)]))).where(F.col("rank") <= k)
+    e = F.exp(sharpness * F.col(score))
+    return best.withColumn("odds", e / (F.sum(e).over(w) + F.exp(F.lit(sharpness * other))))
+
+
+def gate(metrics: DataFrame, least: dict[str, float], most: dict[str, float], required: list[str]) -> DataFrame:
+    """(key, failures): metrics in long form (key, metric, number, flag) against limits; what is missing or not finite fails."""
+    wide = metrics.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("metric", "number"))).alias("n"), F.map_from_entries(F.collect_list(F.struct("metric", "flag"))).alias("f"))  # one row a metric
+    bad = [F.when(~F.coalesce((F.col("n")[m] >= v) & ~F.isnan(F.col("n")[m]), F.lit(False)), F.lit(m)) for m, v in least.items()]
+    bad += [F.when(~F.coalesce((F.col("n")[m] <= v) & ~F.isnan(F.col("n")[m]), F.lit(False)), F.lit(m)) for m, v in most.items()]
+    bad += [F.when(~F.coalesce(F.col("f")[m], F.lit(False)), F.lit(m)) for m in required]
+    return wide.select("key", F.array_compact(F.array(*bad)).alias("failures"))
+
+
+def profile_differences(profiles: DataFrame, name: str, key: str, value: str, a: str, b: str, tolerance: float = 0.02) -> DataFrame:
+    """Where profile b is better or worse than a by more than a tolerance."""
+    x = profiles.where(F.col(name) == a).select(key, F.col(value).alias("before"))
+    y = profiles.where(F.col(name) == b).select(key, F.col(value).alias("after"))
+    gap = F.col("after") - F.col("before")
+    return x.join(y, key).select(key, F.when(gap > tolerance, "better").when(gap < -tolerance, "worse").otherwise("same").alias("change"))
+
+
+def tail_bias(rows: DataFrame, keys: list[str], order: list[Column], predicted: str, actual: str, keep: int = 200, least: int = 5) -> DataFrame:
+    """Mean error over the newest rows of each key, where there are enough."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    last = rows.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep)
+    return last.groupBy(*keys).agg(F.avg(F.col(actual) - F.col(predicted)).alias("bias"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def delta_merge(state: DataFrame, delta: DataFrame, key: str) -> DataFrame:
+    """Rows of a delta replace those of the state with their key, or are added."""
+    return state.join(delta.select(key), key, "left_anti").unionByName(delta)
+
+
+def ordered_union(parts: list[DataFrame]) -> DataFrame:
+    """Union with the place of each part, so that the first of equal rows can win."""
+    out = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("ordinal", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    body = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(F.col(key).alias("__k")).agg(F.min_by(body, F.struct(*order)).alias("r")).select("r.*")
+
+
+def repeated(rows: DataFrame, key: Column) -> DataFrame:
+    """(key, n) of keys that should be unique and aren't."""
+    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def projection(events: DataFrame, task: str, kind: str, ts: str, order: list[Column]) -> DataFrame:
+    """One row for each task: its counts by kind, first and last time, and last status, from the log of its events."""
+    return events.groupBy(task).agg(F.count("*").alias("events"), F.countDistinct(kind).alias("kinds"), F.min(ts).alias("first"), F.max(ts).alias("last"), F.max_by(kind, F.struct(*order)).alias("last_kind"))
+
+
+def budget_sample(rows: DataFrame, key: str, size: str, budget: int, row_id: str) -> DataFrame:
+    """Each group keeps about a budget of size: a row stays if its hash falls under budget / total."""
+    totals = rows.groupBy(key).agg(F.sum(size).alias("__total"))
+    unit = F.conv(F.substring(F.sha2(F.col(row_id).cast("string"), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return rows.join(totals, key).where(unit < F.lit(budget) / F.col("__total")).drop("__total")
+
+
+def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, space: str, vector: str, answer: str, least: float = 0.97) -> DataFrame:
+    """(key, answer, similarity): the entry with the same key, else the most similar entry of the same space above a limit.
+
+    The join is on the space; adaptive execution splits a large one."""
+    exact = requests.join(cache.select(F.col(key), F.col(answer)), key).select(key, answer, F.lit(1.0).alias("similarity"))
+    rest = requests.join(exact.select(key), key, "left_anti")
+    near = rest.join(cache.select(space, F.col(key).alias("__k"), F.col(vector).alias("__v"), F.col(answer)), space).withColumn("similarity", cosine(F.col(vector), F.col("__v"))).where(F.col("similarity") >= least)
+    return exact.unionByName(near.groupBy(key).agg(F.max_by(answer, F.struct("similarity", "__k")).alias(answer), F.max("similarity").alias("similarity")))
+
+
+def mine_sequences(events: DataFrame, task: str, kind: str, order: list[str], good: DataFrame, support: int = 3, least: float = 0.7) -> DataFrame:
+    """(sequence, runs, success): sequences of kinds that tasks went through, with their share of good ones. A task's events are
+    ordered in one array; sequences longer than 200 events aren't procedures and are left to other reports."""
+    seq = events.groupBy(task).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(*order, kind))), lambda x: x[kind]).alias("steps")).where("n <= 200")
+    joined = seq.join(good, task)
+    return joined.groupBy(F.array_join("steps", ">").alias("sequence")).agg(F.count("*").alias("runs"), F.avg(F.col("good").cast("double")).alias("success")).where((F.col("runs") >= support) & (F.col("success") >= least))
+
+
+def temperature(rows: DataFrame, logit: str, correct: str, grid: int = 61) -> DataFrame:
+    """(temperature, nll): of temperatures e^-3 ... e^3 the one with the least negative log likelihood of binary logits."""
+    sums = [F.sum(F.log1p(F.exp(-F.when(F.col(correct), F.col(logit)).otherwise(-F.col(logit)) / F.lit(float(t))))).alias(f"s{i}") for i, t in enumerate(math.exp(-3 + 6 * i / (grid - 1)) for i in range(grid))]
+    one = rows.where(F.col(logit).isNotNull() & F.col(correct).isNotNull()).agg(F.count("*").alias("n"), *sums)
+    best = F.array_min(F.array(*[F.struct((F.col(f"s{i}") / F.col("n")).alias("nll"), F.lit(i).alias("i")) for i in range(grid)]))
+    return one.select(best.alias("b")).select(F.exp(-3 + 6 * F.col("b.i") / (grid - 1)).alias("temperature"), F.col("b.nll").alias("nll"))
+
+
+def belief_fold(observations: DataFrame, keys: list[str], value: str, strength: str, family: str) -> DataFrame:
+    """Confidence of each value: the strongest evidence of each family, joined by noisy or, less what speaks for other values.
+
+    status: rejected, verified (0.9), supported (0.6) or hypothesis."""
+    by_family = observations.groupBy(*keys, value, family).agg(F.max(strength).alias("s"))
+    positive = by_family.groupBy(*keys, value).agg((1 - F.exp(F.sum(F.log1p(-F.least("s", F.lit(0.999)))))).alias("pos"))
+    w = Window.partitionBy(*keys)
+    against = F.exp(F.sum(F.log1p(-F.least("pos", F.lit(0.999)))).over(w) - F.log1p(-F.least("pos", F.lit(0.999))))
+    confidence = F.col("pos") * against
+    return positive.select(*keys, value, confidence.alias("confidence")).withColumn("status", F.when(F.col("confidence") < 0.05, "rejected").when(F.col("confidence") >= 0.9, "verified").when(F.col("confidence") >= 0.6, "supported").otherwise("hypothesis"))
+
+
+def _critical(pdf: pd.DataFrame) -> pd.DataFrame:
+    cost = dict(zip(pdf["node"], pdf["cost"]))
+    before = {n: [d for d in ds if d in cost] for n, ds in zip(pdf["node"], pdf["depends"])}
+    done: dict = {}
+    order, waiting = [], sorted(cost)
+    while waiting:
+        ready = [n for n in waiting if all(d in done for d in before[n])]
+        if not ready:
+            return pd.DataFrame({"plan": [pdf["plan"].iat[0]], "steps": [len(cost)], "critical": [None], "cyclic": [True]}).astype({"critical": "float64"})
+        for n in ready:
+            done[n] = cost[n] + max((done[d] for d in before[n]), default=0.0)
+            order.append(n)
+        waiting = [n for n in waiting if n not in done]
+    return pd.DataFrame({"plan": [pdf["plan"].iat[0]], "steps": [len(order)], "critical": [max(done.values())], "cyclic": [False]})
+
+
+def critical_paths(steps: DataFrame) -> DataFrame:
+    """(plan, steps, critical, cyclic): the longest chain of costs of each plan's steps (plan, node, cost, depends)."""
+    return steps.groupBy("plan").applyInPandas(_critical, "plan bigint, steps bigint, critical double, cyclic boolean")

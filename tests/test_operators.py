@@ -174,3 +174,44 @@ def test_topk_against_all(spark):
 def test_html_page():
     assert html.page("<head><title>t</title></head><p>A&amp;B <b>c</b></p><script>x</script><nav>n</nav><a href='/l'>go</a>") == ("A&B c\ngo", ["/l"])
     assert html.page("") == ("", []) and html.page(None) == (None, [])
+
+
+def test_document_forms():
+    from quern.functions import documents as d
+
+    assert d.repair_scan("The zones inun-\ndables are\nclosed.\nNext one.") == "The zones inundables are closed.\nNext one."
+    assert d.chunks("a b " * 30 + "\n\n" + "c", 50)[0].startswith("a b") and all(len(x) <= 50 for x in d.chunks("word " * 100, 50)) and d.chunks("") == []
+    assert d.code_reason("") == "empty" and d.code_reason("def f(:") == "syntax" and d.code_reason("x = 1\n") is None
+    assert d.structure_hash("def f(a):\n    '''doc'''\n    return a + 'x'") == d.structure_hash("def g(b):\n    return b + 'y'") != d.structure_hash("def g(b):\n    return b - 'y'")
+    assert ("calls", "f", "g") in d.code_edges("import os\ndef f():\n    g()") and d.code_edges("def") == []
+    assert d.lcs(list("abcde"), list("xbxdx")) == 2 and d.lcs([], [1]) == 0
+    assert d.same_json("1", "1.0") and not d.same_json("1", "true") and not d.same_json(None, "1") and d.same_json('{"a":[1]}', '{ "a": [1.0] }')
+    assert abs(sum(x * x for x in d.embed("two words")) - 1) < 1e-9 and set(d.embed("")) == {0.0}
+
+
+def test_plans_and_cycles(spark):
+    from quern.operators import decisions
+
+    rows = [(1, 1, 2.0, []), (1, 2, 3.0, [1]), (1, 3, 1.0, [1]), (2, 1, 1.0, [2]), (2, 2, 1.0, [1])]
+    got = {r["plan"]: (r["critical"], r["cyclic"]) for r in decisions.critical_paths(spark.createDataFrame(rows, "plan long, node long, cost double, depends array<long>")).collect()}
+    assert got[1] == (5.0, False) and got[2][1] is True
+
+
+def test_gate_counts_what_is_missing(spark):
+    from quern.operators import decisions
+
+    rows = [("a", "q", 0.9, None), ("a", "l", 10.0, None), ("a", "ok", None, True), ("b", "q", float("nan"), None), ("b", "ok", None, None)]
+    got = {r["key"]: r["failures"] for r in decisions.gate(spark.createDataFrame(rows, "key string, metric string, number double, flag boolean"), {"q": 0.5}, {"l": 20.0}, ["ok"]).collect()}
+    assert got == {"a": [], "b": ["q", "l", "ok"]}
+
+
+def test_temperature_finds_the_scale(spark):
+    from quern.operators import decisions
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(4000):
+        z = rng.gauss(0, 2)
+        rows.append((3 * z, rng.random() < 1 / (1 + 2.718281828 ** -z)))
+    t = decisions.temperature(spark.createDataFrame(rows, "z double, y boolean"), "z", "y").head()["temperature"]
+    assert 2.3 < t < 3.8
