@@ -226,6 +226,5 @@ SQL = {
     "u8_shortest_paths": f"with recursive {_RING}, r(node, depth) as (select 1::bigint, 0 union select e.v, depth + 1 from r join edges e on e.u = r.node where depth < 40) select node, min(depth)::int as depth from r group by 1",
     "j9_neighbours": f"with recursive {_RING}, r(node, depth) as (select 1::bigint, 0 union select e.v, depth + 1 from r join edges e on e.u = r.node where depth < 2) select node, min(depth)::int as depth from r group by 1",
 }
-SQL["t29_token_jaccard"] = f"with x as (select doc_id, list_distinct({_TOKENS}) as w from documents where length(text) > 0), p as (select a.doc_id, len(list_intersect(a.w, b.w)) as i, len(a.w) as m, len(b.w) as n from x a join x b on b.doc_id = a.doc_id + 1) select doc_id, round(case when m + n > 0 then i / (m + n - i)::double else 1 end, 6) as jaccard from p"
 SQL["j4_contaminated"] = f"with x as (select doc_id, source, {_TOKENS} as w from documents where source is not null), g as (select doc_id, source in ('Router evaluations', 'Seed prompts') as held, array_to_string(w[i:i + 12], ' ') as g from x, unnest(range(1, len(w) - 11)) as r(i)) select distinct doc_id from g where not held and g in (select g from g where held)"
 SQL["c10_synthetic_cap"] = "with x as (select coalesce(source = 'Trace digests', false) as synthetic from documents), n as (select count(*) filter (where not synthetic) as real from x) select synthetic, least(count(*), case when synthetic then floor(0.02 / (1 - 0.02) * any_value(real)) else 1000000000 end)::bigint as n from x, n group by synthetic"
