@@ -80,7 +80,9 @@ _ORDINAL = re.compile(r"(?i)\b(?:am|den|dem|vom|zum|im|der|ab|bis)\s+\d{1,2}\.$"
 _TAIL = re.compile(r"(?:\(\s*[\d.,]+\s*\w*\s*\)|(?:→|=>|->)\s*[\d.,]+\s*\w{0,3}|\"[^\"\n]{1,40}\"|`[^`\n]{1,60}`|https?://[\w.\-]+\.\w+(?:/\S*)?|\[\d+\])\s*$")
 _FENCES = re.compile(r"```.*?```", re.S)
 _LABEL = re.compile(r"^\W*(?:[^\W\d_]+[ ]?){1,4}\s*:\s*")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"), None)
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
+#: Characters up to which a text may be a filler.
+FILLER_CHARS = 60
 
 
 def question_of(source: str | None) -> str:
@@ -106,9 +108,9 @@ def question_of(source: str | None) -> str:
 
 
 def is_empty(answer: str | None) -> bool:
-    text = unicodedata.normalize("NFKC", answer or "").translate(_INVISIBLE)
+    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", answer or ""))
     try:
-        data = json.loads(text)
+        data = json.loads(text) if text.lstrip()[:1] in ("{", "") else None
         if isinstance(data, dict) and data and all(v in (None, "", [], {}) for v in data.values()):
             return True
     except ValueError:
@@ -116,6 +118,8 @@ def is_empty(answer: str | None) -> bool:
     bare = re.sub(r"```\w*|<[^<>]*>", "", text)
     if not re.search(r"[^\W_]", bare):
         return True
+    if len(bare.strip()) > FILLER_CHARS:
+        return False
     folded = "".join(c for c in unicodedata.normalize("NFD", bare.lower()) if c.isalnum())
     return folded in FILLERS and len(words(bare)) <= 3
 
@@ -169,10 +173,11 @@ def _unclosed(text: str) -> bool:
 
 def truncation(answer: str, function_words: set[str]) -> tuple[bool, str | None]:
     """(whether it breaks off; else its last list item, if only other answers can tell)."""
-    text = unicodedata.normalize("NFC", answer).translate(_INVISIBLE).strip()
+    text = _INVISIBLE.sub("", unicodedata.normalize("NFC", answer)).strip()
     try:
-        json.loads(text)
-        return False, None
+        if text[:1] in "{[\"" or len(text) < 40:
+            json.loads(text)
+            return False, None
     except ValueError:
         pass
     if _unclosed(text):
