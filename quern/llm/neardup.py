@@ -150,18 +150,28 @@ def _banded(classes: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def _verified(candidates: DataFrame, shingle: int, max_edits: float, min_jaccard: float) -> DataFrame:
+    """Candidates within the limits. A word of the longer text that the shorter lacks costs an edit, which settles most
+    candidates before their shingles are compared."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             similarity, keep = np.zeros(len(df)), np.zeros(len(df), dtype=bool)
-            last, last_words, last_shingles = None, [], None
+            known: dict[str, tuple[list[str], set[str]]] = {}
             for i, (x, y) in enumerate(zip(df["norm_a"], df["norm_b"])):
-                if x != last:
-                    last, last_words = x, x.split(" ")
-                    last_shingles = shingles(np.fromiter(map(word_hash, last_words), dtype=np.uint64, count=len(last_words)), shingle)
-                other = y.split(" ")
-                similarity[i] = jaccard(last_shingles, shingles(np.fromiter(map(word_hash, other), dtype=np.uint64, count=len(other)), shingle))
-                if similarity[i] >= min_jaccard or min(len(last_words), len(other)) < 2 * shingle:
-                    keep[i] = edit_distance(last_words, other) <= max_edits * max(len(last_words), len(other))
+                for t in (x, y):
+                    if t not in known:
+                        own = t.split(" ")
+                        known[t] = own, set(own)
+                (own, own_set), (other, other_set) = known[x], known[y]
+                limit = max_edits * max(len(own), len(other))
+                if len(own_set - other_set) > limit or len(other_set - own_set) > limit:
+                    continue
+                long, lacks = (own, other_set) if len(own) >= len(other) else (other, own_set)
+                if sum(w not in lacks for w in long) > limit:
+                    continue
+                similarity[i] = jaccard(*(shingles(np.fromiter(map(word_hash, ws), dtype=np.uint64, count=len(ws)), shingle) for ws in (own, other)))
+                if similarity[i] >= min_jaccard or min(len(own), len(other)) < 2 * shingle:
+                    keep[i] = edit_distance(own, other) <= limit
             yield df.assign(jaccard=similarity)[keep][["cls_a", "cls_b", "jaccard"]]
 
     return candidates.mapInPandas(run, "cls_a binary, cls_b binary, jaccard double")
