@@ -46,6 +46,8 @@ _TABLE = re.compile(r"^\s*\|.*$|^[^\w\n]*$", re.M)
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬­]\s*\n\s*(?=[^\W\d_])")
 _WRAP = re.compile(r"(?<=[^\s.!?:;…])[^\S\n]*\n[^\S\n]*(?=[a-zà-öø-ÿ(])")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»)\]]*\s+(?=[\"'«(¿¡]?[^\W\d_a-zà-öø-ÿ])|\n+")
+#: UTF-8 that was read as Latin-1.
+_MISREAD = re.compile("[\u00c2\u00c3][\u0080-\u00bf]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _NOT_LETTERS = re.compile(r"[^\w'’·]+|[\d_]+")
 
@@ -58,6 +60,8 @@ def plain(sentence: str) -> bytes:
 
 def sentences(text: str) -> list[str]:
     """Sentences of a text without code, tables, addresses and figures; a piece of under three words joins the one before it."""
+    if "\u00c3" in text or "\u00c2" in text:
+        text = _MISREAD.sub(lambda m: m[0].encode("latin-1").decode("utf-8"), text)
     text = _ASIDE.sub(" ", _TABLE.sub("", _FENCE.sub("\n", text.replace("\r\n", "\n").replace("\r", "\n"))))
     text = _WRAP.sub(" ", _HYPHEN.sub("", text))
     out: list[str] = []
