@@ -32,7 +32,7 @@ NONE = [
     ("a.env", 'TOKEN="${TOKEN}"'), ("a.env", "PASSWORD=%PASSWORD%"), ("a.env", "API_KEY={{ API_KEY }}"), ("a.env", "API_KEY=env:API_KEY"), ("a.env", "PASSWORD="), ("a.env", "PASSWORD=********"),
     ("a.py", 'token = os.environ["TOKEN"]'), ("a.py", "def f(password=None, token: str = ''):"), ("a.py", "max_tokens = 1024"), ("a.py", 'api_key_path = "/run/secrets/api_key"'), ("a.py", "token_name = 'csrf_token'"),
     ("a.py", 'sha256 = "e83be9082c6ba0f5fab6539820eab75f5c66148b"'), ("a.py", 'trace_id = "69ef05d8-9bfa-c61e-d78e-40d01aadfde5"'), ("a.yaml", "deploy_pub: ssh-ed25519 RpHRlLlCyJOD7ncpxkJX+wKd5/JLWngr8RqM ops"),
-    ("a.yaml", "password_min_length: 12"), ("a.yaml", "secret_ref: hydra/prod/db"), ("a.json", '"api_key": "<YOUR_KEY>",'), ("a.json", '"password": "changeme",'), ("a.md", "-----BEGIN PUBLIC KEY-----\nAAAAB3NzaC1yc2E\n-----END PUBLIC KEY-----"),
+    ("a.yaml", "password_min_length: 12"), ("a.yaml", "secret_ref: app/prod/db"), ("a.json", '"api_key": "<YOUR_KEY>",'), ("a.json", '"password": "changeme",'), ("a.md", "-----BEGIN PUBLIC KEY-----\nAAAAB3NzaC1yc2E\n-----END PUBLIC KEY-----"),
     ("a.md", "The password must be changed every year."), ("a.js", "const t = process.env.TOKEN;"), ("a.sql", "SET token_limit = '1723';"), ("a.md", "see https://host.example/path?x=1 for the token list"), ("a.sh", "  --token  \\"),
 ]
 
