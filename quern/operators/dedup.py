@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions.hashing import hash_bucket
-from quern.session import drop_spill, spill
+from quern.session import drop_spill, spill, spread
 
 BANDS, BAND_ROWS, NEAR = 14, 8, 0.8
 #: Hashes of evaluation n-grams up to which they are sent to every task; beyond, both sides are shuffled.
@@ -30,7 +30,7 @@ def contaminated(docs: DataFrame, evaluation: DataFrame, key: str, text: str, n:
     held, _ = spill(held, "ngrams")
     if held.count() <= BROADCAST_NGRAMS:
         held = F.broadcast(held)
-    grams = docs.select(key, F.explode(F.array_distinct(ngram_hashes(tx.word_tokens(F.col(text)), n))).alias("g"))
+    grams = spread(docs.select(key, text)).select(key, F.explode(F.array_distinct(ngram_hashes(tx.word_tokens(F.col(text)), n))).alias("g"))
     return grams.join(held, "g", "left_semi").select(key).distinct()
 
 
@@ -38,7 +38,7 @@ def near_edges(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b, agreement) with a < b: documents whose minwise signatures agree in 0.8 of the places, by 14 bands of 8 rows.
 
     Equal signatures are one class; classes are compared, and members other than the first hang on it by one edge each."""
-    signed, _ = spill(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), tx.minhash(F.col(text)).alias("sig")), "signatures")
+    signed, _ = spill(spread(docs.where(F.col(text).isNotNull()).select(key, text)).select(F.col(key).alias("id"), tx.minhash(F.col(text)).alias("sig")), "signatures")
     classes = signed.groupBy("sig").agg(F.min("id").alias("id"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)))
     banded = classes.select("id", F.posexplode(bands).alias("band", "h"))
@@ -79,7 +79,7 @@ def funnel(docs: DataFrame, key: str, text: str, evaluation: DataFrame | None =
 
     Cheap rules come first; only survivors are hashed, and only distinct survivors get a signature. Equal copies of a
     near-duplicate reject are near duplicates too, as the copies of a class share its fate but for the first of a kept one."""
-    judged = docs.select(key, text, F.coalesce(tx.basic_reason(F.col(text)), tx.quality_reason(F.col(text), min_words=20)).alias("reason"))
+    judged = tx.with_quality(docs.select(key, text), text, min_words=20, repetition=False).select(key, text, F.coalesce(tx.basic_reason(F.col(text)), F.col("quality")).alias("reason"))
     judged, _ = spill(judged, "judged")
     passed = judged.where("reason is null").select(F.col(key).alias("id"), F.col(text).alias("text"))
     if evaluation is not None:

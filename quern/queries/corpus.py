@@ -7,11 +7,12 @@ from quern.functions import text as tx
 from quern.functions.hashing import canonical_json, hamming, hash_bucket, sha256, simhash64
 from quern.operators import components as graph
 from quern.operators import dedup, joins, records
+from quern.session import spread
 from quern.sources.tables import table
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"))
 
 
 def _r(df, *names, digits=6):
@@ -39,8 +40,8 @@ def t14_dup_ngram(s, d):
 
 
 def quality_reasons(s, d):
-    reason = tx.quality_reason(F.col("text"), tx.ngram_repetition(F.col("text")), min_words=20)
-    return _docs(s, d).where("text is not null").groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+    judged = tx.with_quality(_docs(s, d).where("text is not null").select("doc_id", "text"), "text", min_words=20)
+    return judged.groupBy(F.coalesce("quality", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def j4_contaminated(s, d):
@@ -50,7 +51,7 @@ def j4_contaminated(s, d):
 
 
 def j5_simhash(s, d):
-    t = table(s, d, "texts").where("text is not null").select("text_id", simhash64(tx.ngrams(tx.word_tokens(F.col("text")), 3)).alias("code"))
+    t = spread(table(s, d, "texts").where("text is not null").select("text_id", "text")).select("text_id", simhash64(tx.ngrams(tx.word_tokens(F.col("text")), 3)).alias("code"))
     return joins.hamming_pairs(t, "text_id", "code", 3)
 
 

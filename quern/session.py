@@ -55,6 +55,13 @@ def drop_spill(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small table may be one row group, hence one task. Inputs of as many partitions as there are cores
+    stay as they are, so nothing large is shuffled. For plans without a shuffle of their own, as counting partitions runs one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
