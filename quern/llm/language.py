@@ -26,6 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from quern.llm.langwords import LANGUAGES, label_language
+from quern.session import spread
 
 WINDOW = 112
 STRIDE = 80
@@ -303,7 +304,7 @@ def runs(path: np.ndarray, scores: np.ndarray, least: int = 2) -> list[tuple[int
 def segments(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """(doc_id, segment_no, language, confidence, n_sentences, label): every text with words; segment_no is 0 for a text in
     one language, else counts from 1. label is the language that the document's label names."""
-    slim = docs.where("doc_id is not null and text is not null").select(docs["doc_id"].cast("bigint"), docs["lang"].cast("string"), docs["text"].cast("string"))
+    slim = spread(docs.where("doc_id is not null and text is not null").select(docs["doc_id"].cast("bigint"), docs["lang"].cast("string"), docs["text"].cast("string")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:

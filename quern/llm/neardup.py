@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textform import words
-from quern.session import spill
+from quern.session import spill, spread
 
 SHINGLE = 4
 BANDS = 100
@@ -121,7 +121,7 @@ def _prepared(texts: DataFrame) -> DataFrame:
             df = df.assign(norm=norm, train=df["split"] == "train")[norm != ""]
             yield df[["text_id", "split", "source", "train", "norm"]]
 
-    prepared = slim.mapInPandas(run, "text_id bigint, split string, source string, train boolean, norm string")
+    prepared = spread(slim).mapInPandas(run, "text_id bigint, split string, source string, train boolean, norm string")
     return prepared.withColumn("cls", F.unhex(F.substring(F.sha2("norm", 256), 1, 32)))
 
 
@@ -146,7 +146,7 @@ def _banded(classes: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 band = pa.array(np.tile(np.arange(bands, dtype=np.int16), part.num_rows))
                 yield pa.RecordBatch.from_arrays([band, pa.array(np.concatenate(hashes)), columns[0], n, columns[1], columns[2]], names=["band", "hash", "cls", "n", "train", "other"])
 
-    return classes.select("cls", "norm", "train", "other").mapInArrow(run, "band smallint, hash bigint, cls binary, n int, train boolean, other boolean")
+    return spread(classes.select("cls", "norm", "train", "other")).mapInArrow(run, "band smallint, hash bigint, cls binary, n int, train boolean, other boolean")
 
 
 def _verified(candidates: DataFrame, shingle: int, max_edits: float, min_jaccard: float) -> DataFrame:

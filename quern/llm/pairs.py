@@ -8,7 +8,7 @@ kept; p4_found names the first.
 
 An ending is abrupt if the text stops without a mark that closes a sentence and isn't short, coded or a list. Whether the last
 item of a list of unpunctuated items was cut is seen in all answers: it never occurs as an item that another one follows, while
-an item that occurs at least twice begins with it.
+an item of at least two traces begins with it.
 
 Languages come from the byte network of the language operator, fitted on labelled documents, else from word lists. Null traces
 are empty answers; input that isn't JSON is itself the question; rows without a trace_id are left out; repeated trace_ids come
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quern.llm import language, langwords
 from quern.llm.neardup import edit_distance
 from quern.llm.textform import words
-from quern.session import spill
+from quern.session import spill, spread
 
 ORDER = ("empty", "refusal", "copy", "truncated", "other_language")
 #: What two languages have to explain better than one (log probability), and the weight of a function word beside the network.
@@ -281,15 +281,15 @@ def _flags(df: pd.DataFrame, model) -> pd.DataFrame:
 def flags(traces: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(trace_id, defects): each trace with all its defects in order; an empty list for a sound one."""
     model = language.fit_on(labelled) if labelled is not None else None
-    slim = traces.where("trace_id is not null").select(traces["trace_id"].cast("bigint"), traces["input"].cast("string"), traces["final_answer"].cast("string")).distinct()
+    slim = traces.where("trace_id is not null").select(traces["trace_id"].cast("bigint"), traces["input"].cast("string"), traces["final_answer"].cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for at in range(0, len(df), 500):
                 yield _flags(df.iloc[at : at + 500], model)
 
-    judged, _ = spill(slim.mapInPandas(run, "trace_id bigint, defects array<string>, tail string, items array<string>"), "pairs")
-    followed = judged.select(F.explode("items").alias("item")).groupBy("item").count()
+    judged, _ = spill(spread(slim).mapInPandas(run, "trace_id bigint, defects array<string>, tail string, items array<string>"), "pairs")
+    followed = judged.select("trace_id", F.explode("items").alias("item")).groupBy("item").agg(F.countDistinct("trace_id").alias("count"))
     prefixes = followed.where("count >= 2 and length(item) > 3").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("item") - 1, F.lit(200))), lambda i: F.rtrim(F.substring(F.col("item"), F.lit(1), i)))).alias("tail")).distinct()
     cut = judged.where("tail is not null").select("tail").distinct().join(followed.select(F.col("item").alias("tail")), "tail", "left_anti").join(prefixes, "tail", "left_semi").withColumn("cut", F.lit(True))
     broken = F.array_contains("defects", "truncated")

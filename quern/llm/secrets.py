@@ -23,6 +23,8 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 MARK = "[REDACTED]"
 CODE_KINDS = ("acquisition", "stack_python", "stack_markdown")
 
@@ -341,7 +343,7 @@ def redact(text: str, found: list[Finding]) -> str:
 
 
 def _files(files: DataFrame) -> DataFrame:
-    return files.where("file_id is not null and text <> ''").select(files["file_id"].cast("bigint"), files["path"].cast("string"), files["text"].cast("string"))
+    return spread(files.where("file_id is not null and text <> ''").select(files["file_id"].cast("bigint"), files["path"].cast("string"), files["text"].cast("string")))
 
 
 def findings(files: DataFrame) -> DataFrame:
@@ -383,5 +385,5 @@ def redacted(files: DataFrame) -> DataFrame:
                 n.append(len(f))
             yield pd.DataFrame({"file_id": df["file_id"], "text": pd.Series(text, index=df.index, dtype=object), "n_redacted": n})
 
-    slim = files.select(files["file_id"].cast("bigint"), files["path"].cast("string"), files["text"].cast("string"))
+    slim = spread(files.select(files["file_id"].cast("bigint"), files["path"].cast("string"), files["text"].cast("string")))
     return slim.mapInPandas(run, "file_id bigint, text string, n_redacted int")

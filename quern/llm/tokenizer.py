@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 #: Where the rank files of the public tokenizers lie unless a caller says otherwise.
 TOKENIZER_DIR = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -193,7 +195,7 @@ def _ranks_path(tokenizer: str) -> str:
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, tokenizer: str = BYTE_BPE, offsets: bool = False) -> DataFrame:
     """The columns of keep with ids (array of int) and, if asked for, offsets (array of int). No shuffle; one pass over the texts."""
     path, keep = _ranks_path(tokenizer), keep or ["doc_id"]
-    slim = df.select(*keep, df[text].cast("string").alias("__text"))
+    slim = spread(df.select(*keep, df[text].cast("string").alias("__text")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]] + ["ids array<int>"] + ["offsets array<int>"] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +216,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, tok
 def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, tokenizer: str = BYTE_BPE) -> DataFrame:
     """The columns of keep with tokens (bigint): how many ids each text has."""
     path, keep = _ranks_path(tokenizer), keep or ["doc_id"]
-    slim = df.select(*keep, df[text].cast("string").alias("__text"))
+    slim = spread(df.select(*keep, df[text].cast("string").alias("__text")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]] + ["tokens bigint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
