@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import html, stats
 from quern.functions import text as tx
 from quern.functions.hashing import canonical_json, hash_bucket, simhash64
-from quern.operators import aggregates, components, dedup, joins, records, windows
+from quern.operators import aggregates, components, decisions, dedup, joins, records, windows
 from quern.operators.merkle import merkle_root
 from quern.operators.topk import cosine_topk
 
@@ -215,3 +215,23 @@ def test_temperature_finds_the_scale(spark):
         rows.append((3 * z, rng.random() < 1 / (1 + 2.718281828 ** -z)))
     t = decisions.temperature(spark.createDataFrame(rows, "z double, y boolean"), "z", "y").head()["temperature"]
     assert 2.3 < t < 3.8
+
+
+def _mined(spark, traces, support=3, least=0.7):
+    rows = [(t, i, k) for t, (steps, _) in enumerate(traces) for i, k in enumerate(steps)]
+    events = spark.createDataFrame(rows, "task long, i int, kind string")
+    good = spark.createDataFrame([(t, ok) for t, (_, ok) in enumerate(traces)], "task long, good boolean")
+    return sorted(tuple(r) for r in decisions.mine_sequences(events, "task", "kind", ["i"], good, support, least).collect())
+
+
+def test_long_sequences_are_mined(spark):
+    long = ["a", "b"] * 150
+    assert _mined(spark, [(long, True)] * 3 + [(["b", "a"] * 150, True)] + [(["a", "b"], True)] * 2) == [(">".join(long), 3, 1.0)]
+
+
+def test_without_support_the_common_subsequence_is_mined(spark):
+    traces = [(list("axbc"), True), (list("aybc"), True), (list("abzc"), True), (list("q"), False)]
+    assert _mined(spark, traces) == [("a>b>c", 3, 0.75)]
+    assert _mined(spark, traces, least=0.8) == []
+    assert _mined(spark, [(list("ab"), True), (list("ba"), True), (list("cab"), True)]) == []
+    assert _mined(spark, [(list("ab"), True)] * 3 + traces) == [("a>b", 3, 1.0)]
