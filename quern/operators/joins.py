@@ -6,19 +6,41 @@ from pyspark.sql import functions as F
 from quern.functions.hashing import hamming
 
 
-def hamming_pairs(rows: DataFrame, key: str, code: str, distance: int, keep: list[str] | None = None) -> DataFrame:
-    """Pairs (a < b) of 64-bit codes within a Hamming distance.
-
-    Pigeonhole: codes cut into distance + 1 blocks agree in at least one. Equal codes are joined once as a class and come out
-    by their representative (smallest key), with the class size, so copies aren't multiplied."""
-    classes = rows.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(key).alias("rep"), F.count("*").alias("size"))
+def _banded(classes: DataFrame, code: str, distance: int, side: str) -> DataFrame:
+    """Each class once for each block of its code: codes within the distance agree in at least one of distance + 1 blocks."""
     blocks = distance + 1
     width = -(-64 // blocks)
     parts = F.array(*[F.shiftrightunsigned(F.col(code), i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)) for i in range(blocks)])
-    banded = classes.select("rep", "size", code, F.posexplode(parts).alias("block", "bits"))
-    a, b = banded.select("block", "bits", *[F.col(c).alias(f"{c}_a") for c in ("rep", "size", code)]), banded.select("block", "bits", *[F.col(c).alias(f"{c}_b") for c in ("rep", "size", code)])
+    banded = classes.select("*", F.posexplode(parts).alias("block", "bits"))
+    return banded.select("block", "bits", *[F.col(c).alias(f"{c}_{side}") for c in classes.columns])
+
+
+def hamming_pairs(rows: DataFrame, key: str, code: str, distance: int, keep: list[str] | None = None, members: bool = False) -> DataFrame:
+    """Pairs (a < b) of 64-bit codes within a Hamming distance.
+
+    Pigeonhole: codes cut into distance + 1 blocks agree in at least one. Equal codes are joined once as a class and come out
+    by their representative (smallest key), with the class size, so copies aren't multiplied. members: also a row
+    (representative, member) at distance 0 for every other member of a class, so that each row's class can be told."""
+    coded = rows.where(F.col(code).isNotNull())
+    classes = coded.groupBy(code).agg(F.min(key).alias("rep"), F.count("*").alias("size"))
+    a, b = _banded(classes, code, distance, "a"), _banded(classes, code, distance, "b")
     near = a.join(b, ["block", "bits"]).where((F.col("rep_a") < F.col("rep_b")) & (hamming(F.col(f"{code}_a"), F.col(f"{code}_b")) <= distance))
-    return near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "size_a", "size_b", hamming(F.col(f"{code}_a"), F.col(f"{code}_b")).alias("distance")).distinct()
+    pairs = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "size_a", "size_b", hamming(F.col(f"{code}_a"), F.col(f"{code}_b")).alias("distance")).distinct()
+    if not members:
+        return pairs
+    own = coded.select(key, code).join(classes.where("size > 1"), code).where(F.col(key) != F.col("rep"))
+    return pairs.unionByName(own.select(F.col("rep").alias("a"), F.col(key).alias("b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(0).alias("distance")))
+
+
+def hamming_guard(rows: DataFrame, guarded: DataFrame, key: str, code: str, distance: int) -> DataFrame:
+    """(key, near, distance): each row whose code is equal to one of the guarded rows or within a Hamming distance, with the
+    nearest of these (smallest key of equally near ones). Codes meet once, however many rows have them."""
+    held = guarded.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(key).alias("rep"))
+    own = rows.where(F.col(code).isNotNull()).select(code).distinct()
+    apart = hamming(F.col(f"{code}_a"), F.col(f"{code}_b"))
+    near = _banded(own, code, distance, "a").join(_banded(held, code, distance, "b"), ["block", "bits"]).where(apart <= distance)
+    best = near.groupBy(F.col(f"{code}_a").alias(code)).agg(F.min(F.struct(apart.alias("distance"), F.col("rep_b").alias("near"))).alias("m"))
+    return rows.join(best, code).select(key, "m.near", "m.distance")
 
 
 def valid_at(edges: DataFrame, at: Column) -> DataFrame:

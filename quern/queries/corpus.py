@@ -7,7 +7,7 @@ from quern.functions import text as tx
 from quern.functions.hashing import canonical_json, hamming, hash_bucket, sha256, simhash64
 from quern.operators import components as graph
 from quern.operators import dedup, joins, records
-from quern.session import spread
+from quern.session import spill, spread
 from quern.sources.tables import table
 
 
@@ -50,9 +50,16 @@ def j4_contaminated(s, d):
     return dedup.contaminated(docs.where("source not in ('Router evaluations', 'Seed prompts')"), held, "doc_id", "text")
 
 
+def text_code(text):
+    """SimHash of runs of three words; of a shorter text the hash of its words, or of its signs if it has none."""
+    w = tx.word_tokens(text)
+    short = F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(tx.normalize_text(text))
+    return F.coalesce(simhash64(tx.ngrams(w, 3)), F.xxhash64(short))
+
+
 def j5_simhash(s, d):
-    t = spread(table(s, d, "texts").where("text is not null").select("text_id", "text")).select("text_id", simhash64(tx.ngrams(tx.word_tokens(F.col("text")), 3)).alias("code"))
-    return joins.hamming_pairs(t, "text_id", "code", 3)
+    t, _ = spill(spread(table(s, d, "texts").where("text is not null").select("text_id", "text")).select("text_id", text_code(F.col("text")).alias("code")), "codes")
+    return joins.hamming_pairs(t, "text_id", "code", 3, members=True)
 
 
 def c2_greedy(s, d):

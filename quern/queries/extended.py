@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import documents as df_
 from quern.functions import text as tx
-from quern.functions.hashing import simhash64
 from quern.operators import decisions as dec
 from quern.operators import joins, records
 from quern.operators.topk import cosine, rerank
+from quern.queries.corpus import text_code
+from quern.session import spill, spread
 from quern.sources import files
 from quern.sources.tables import table
 
@@ -128,9 +129,11 @@ def c31_support(s, d):
 
 
 def c4_simhash_guard(s, d):
-    t = table(s, d, "texts").where("text is not null").select("text_id", F.lower(F.trim("split")).alias("split"), simhash64(tx.ngrams(tx.word_tokens(F.col("text")), 3)).alias("code"))
-    near = joins.hamming_pairs(t, "text_id", "code", 6)
-    return near.groupBy("distance").agg(F.count("*").alias("pairs"))
+    t = spread(table(s, d, "texts").where("text is not null").select("text_id", "split", "text"))
+    coded = t.select("text_id", F.lower(F.trim("split")).alias("split"), (F.length(tx.normalize_text(F.col("text"))) >= 12).alias("long"), text_code(F.col("text")).alias("code"))
+    t, _ = spill(coded, "codes")
+    held = t.where("long and split in ('validation', 'test', 'dev', 'calibration')")
+    return joins.hamming_guard(t.where("split = 'train'"), held, "text_id", "code", 6)
 
 
 def a49_gate(s, d):

@@ -235,3 +235,34 @@ def test_without_support_the_common_subsequence_is_mined(spark):
     assert _mined(spark, traces, least=0.8) == []
     assert _mined(spark, [(list("ab"), True), (list("ba"), True), (list("cab"), True)]) == []
     assert _mined(spark, [(list("ab"), True)] * 3 + traces) == [("a>b", 3, 1.0)]
+
+
+def test_hamming_members_and_guard_against_brute_force(spark):
+    rng = random.Random(3)
+    codes = [rng.getrandbits(64) - (1 << 63) for _ in range(30)]
+    codes += [c ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for c in codes[:10]] + codes[5:15] + codes[5:8]
+    apart = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    df = spark.createDataFrame(list(enumerate(codes)), "k long, c long")
+    first = {c: min(i for i, x in enumerate(codes) if x == c) for c in codes}
+    got = joins.hamming_pairs(df, "k", "c", 3, members=True)
+    assert {(r["a"], r["b"]) for r in got.where("distance = 0").collect()} == {(first[c], i) for i, c in enumerate(codes) if first[c] != i}
+    assert {tuple(r) for r in got.where("distance > 0").collect()} == {tuple(r) for r in joins.hamming_pairs(df, "k", "c", 3).collect()}
+    held = [i for i in range(len(codes)) if i % 3 == 0]
+    want = {}
+    for i, c in enumerate(codes):
+        near = min((apart(c, codes[j]), j) for j in held)
+        if i % 3 and near[0] <= 6:
+            want[i] = near[::-1]
+    assert any(x[1] == 0 for x in want.values()) and any(x[1] > 0 for x in want.values())
+    assert {r["k"]: (r["near"], r["distance"]) for r in joins.hamming_guard(df.where("k % 3 <> 0"), df.where("k % 3 = 0"), "k", "c", 6).collect()} == want
+
+
+def test_copies_of_evaluation_texts_are_guarded(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    copied, other = "one two three four five six seven", "quite another text about nothing at all"
+    rows = [(1, "Train ", copied), (2, "TEST", copied), (3, "train", other), (4, "train", "Hello, reader"), (5, "dev", "hello reader"), (6, "train", "Yes"), (7, "dev", "yes"), (8, None, copied)]
+    spark.createDataFrame(rows, "text_id long, split string, text string").write.parquet(str(tmp_path / "texts.parquet"))
+    assert sorted(tuple(r) for r in entry.queries()["c4_simhash_guard"](spark, str(tmp_path)).collect()) == [(1, 2, 0), (4, 5, 0)]
+    pairs = {(r["a"], r["b"], r["distance"]) for r in entry.queries()["j5_simhash_pairs"](spark, str(tmp_path)).collect()}
+    assert pairs == {(1, 2, 0), (1, 8, 0), (4, 5, 0), (6, 7, 0)}
