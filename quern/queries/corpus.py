@@ -47,7 +47,7 @@ def quality_reasons(s, d):
 def j4_contaminated(s, d):
     docs = _docs(s, d)
     held = docs.where("source in ('Router evaluations', 'Seed prompts')")
-    return dedup.contaminated(docs.where("source not in ('Router evaluations', 'Seed prompts')"), held, "doc_id", "text")
+    return dedup.contaminated(docs.where("source is null or source not in ('Router evaluations', 'Seed prompts')"), held, "doc_id", "text")
 
 
 def text_code(text):

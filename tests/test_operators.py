@@ -266,3 +266,12 @@ def test_copies_of_evaluation_texts_are_guarded(spark, tmp_path):
     assert sorted(tuple(r) for r in entry.queries()["c4_simhash_guard"](spark, str(tmp_path)).collect()) == [(1, 2, 0), (4, 5, 0)]
     pairs = {(r["a"], r["b"], r["distance"]) for r in entry.queries()["j5_simhash_pairs"](spark, str(tmp_path)).collect()}
     assert pairs == {(1, 2, 0), (1, 8, 0), (4, 5, 0), (6, 7, 0)}
+
+
+def test_documents_without_source_are_checked(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    words = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, None, f"lead {words} end"), (2, "Seed prompts", words), (3, "other", "nothing " * 20), (4, "other", words)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r[0] for r in entry.queries()["j4_contaminated"](spark, str(tmp_path)).collect()) == [1, 4]
