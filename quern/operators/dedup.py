@@ -73,13 +73,16 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Da
     return free.unionByName(state)
 
 
-def funnel(docs: DataFrame, key: str, text: str, evaluation: DataFrame | None = None, holdout: int = 2) -> DataFrame:
+def funnel(docs: DataFrame, key: str, text: str, evaluation: DataFrame | None = None, holdout: int = 2, formulaic: str | None = None) -> DataFrame:
     """(key, reason, split): one outcome for each document: too short and the like, style, contaminated, duplicate,
     near_duplicate, or kept (null reason) with its split.
 
+    formulaic: a boolean column of documents that repeat phrases by nature (official law), for which the n-gram rules don't hold.
+
     Cheap rules come first; only survivors are hashed, and only distinct survivors get a signature. Equal copies of a
     near-duplicate reject are near duplicates too, as the copies of a class share its fate but for the first of a kept one."""
-    judged = tx.with_quality(docs.select(key, text), text, min_words=20, repetition=False).select(key, text, F.coalesce(tx.basic_reason(F.col(text)), F.col("quality")).alias("reason"))
+    basic = docs.select(key, text, (~F.col(formulaic) if formulaic else F.lit(True)).alias("__prose")).withColumn("basic", tx.basic_reason(F.col(text)))
+    judged = tx.with_quality(basic, text, min_words=20, repetition=F.col("basic").isNull() & F.coalesce("__prose", F.lit(True))).select(key, text, F.coalesce("basic", "quality").alias("reason"))
     judged, _ = spill(judged, "judged")
     passed = judged.where("reason is null").select(F.col(key).alias("id"), F.col(text).alias("text"))
     if evaluation is not None:

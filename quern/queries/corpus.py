@@ -68,8 +68,11 @@ def c2_greedy(s, d):
 
 
 def c1_funnel(s, d):
+    name = lambda c: tx.normalize_text(F.col(c))
+    law = table(s, d, "source_specs").where("kind = 'boe'").select(name("name").alias("__name"), F.lit(True).alias("law")).distinct()
     docs = _docs(s, d)
-    out = dedup.funnel(docs.where("source is null or source <> 'Seed prompts'"), "doc_id", "text", docs.where("source = 'Seed prompts'"))
+    kinds = docs.withColumn("__name", name("source")).join(F.broadcast(law), "__name", "left").withColumn("law", F.coalesce("law", F.lit(False)))
+    out = dedup.funnel(kinds.where("source is null or source <> 'Seed prompts'"), "doc_id", "text", docs.where("source = 'Seed prompts'"), formulaic="law")
     return out.groupBy("reason", "split").agg(F.count("*").alias("n"))
 
 

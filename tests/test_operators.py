@@ -275,3 +275,14 @@ def test_documents_without_source_are_checked(spark, tmp_path):
     rows = [(1, None, f"lead {words} end"), (2, "Seed prompts", words), (3, "other", "nothing " * 20), (4, "other", words)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r[0] for r in entry.queries()["j4_contaminated"](spark, str(tmp_path)).collect()) == [1, 4]
+
+
+def test_funnel_drops_repeated_phrases_but_for_formulaic_texts(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    repeated = " ".join(words[:20] * 8)
+    df = spark.createDataFrame([(0, repeated, False), (1, repeated + " more", True), (2, " ".join(words), False)], "id long, text string, law boolean")
+    out = {r["id"]: r["reason"] for r in dedup.funnel(df, "id", "text", formulaic="law").collect()}
+    assert out[0].endswith("gram") and out[1] is None and out[2] is None
+    plain = {r["id"]: r["reason"] for r in dedup.funnel(df, "id", "text").collect()}
+    assert plain[0] == plain[1] == out[0] and plain[2] is None
