@@ -62,7 +62,21 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def rerank(candidates: DataFrame, weights: dict[str, float], recency_days: Column, least: float, k: int) -> DataFrame:
-    """Hybrid score: a weighted sum of columns and 0.1 / (1 + days / 30), over candidates of at least a similarity."""
+def similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """(query_id, key, similarity) of all rows with at least a cosine to a query, the query's own row too.
+
+    Vectors of another length than the query's are no candidates; null vectors are left out."""
+    pick = lambda df, name, v: df.where(F.col(vector).isNotNull()).select(F.col(key).alias(name), F.col(vector).alias(v))
+    both = pick(rows, key, "__v").crossJoin(pick(queries, "query_id", "__q"))
+    return both.select("query_id", key, cosine(F.col("__v"), F.col("__q")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def rerank(candidates: DataFrame, weights: dict[str, float], recency_days: Column, least: float, k: int, query: str | None = None) -> DataFrame:
+    """Hybrid score: a weighted sum of columns and 0.1 / (1 + days / 30), over candidates of at least a similarity; the k best,
+    of each query if its column is named. Ties by the first column."""
     score = sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(0.0)) + 0.10 / (1 + recency_days / 30)
-    return candidates.where(F.col("similarity") >= least).withColumn("score", score).orderBy(F.desc("score"), *[c for c in candidates.columns[:1]]).limit(k)
+    order = [F.desc("score"), *[c for c in candidates.columns[:1]]]
+    scored = candidates.where(F.col("similarity") >= least).withColumn("score", score)
+    if query is None:
+        return scored.orderBy(*order).limit(k)
+    return scored.withColumn("__rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")

@@ -98,6 +98,23 @@ def j9_neighbours(s, d):
     return graph.reachable(_ring(s, d), s.createDataFrame([(1,)], "node bigint"), undirected=True, max_depth=2).where("depth <= 2")
 
 
+def _whole_ring(s, d):
+    """The ring over all customers: its length is the first number after the largest key."""
+    c = table(s, d, "customer").select(F.col("c_custkey").cast("bigint").alias("u"))
+    n = c.agg((F.max("u") + 1).alias("n"))
+    return c.join(F.broadcast(n)).select("u", ((F.col("u") * 7 + 3) % F.col("n")).alias("v")).where("u <> v")
+
+
+def u8_paths_all(s, d):
+    edges = _whole_ring(s, d)
+    most = edges.count() + 1  # no shortest path is longer
+    return graph.reachable(edges, s.createDataFrame([(1,)], "node bigint"), undirected=True, max_depth=most)
+
+
+def j9_neighbours_all(s, d):
+    return graph.reachable(_whole_ring(s, d), s.createDataFrame([(1,)], "node bigint"), undirected=True, max_depth=2).where("depth <= 2")
+
+
 def c8_impact(s, d):
     return graph.impact(_tree(s, d), s.createDataFrame([(7,)], "node bigint"), {"1": "one", "2": "two"})
 
@@ -136,7 +153,7 @@ def h1_canonical(s, d):
 def h2_merkle(s, d):
     from quern.operators.merkle import merkle_root
 
-    leaves = table(s, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderstatus").alias("stream"), F.row_number().over(_by("o_orderstatus", "o_orderkey")).alias("pos"), sha256(F.col("o_orderpriority")).alias("leaf"))
+    leaves = table(s, d, "orders").select(F.col("o_orderstatus").alias("stream"), F.row_number().over(_by("o_orderstatus", "o_orderkey")).alias("pos"), sha256(F.col("o_orderpriority")).alias("leaf"))
     return merkle_root(leaves.withColumn("pos", F.col("pos") - 1), "stream", "pos", "leaf")
 
 
@@ -204,7 +221,9 @@ QUERIES = {
     "u6_closure": u6_closure,
     "u7_components": u7_components,
     "u8_shortest_paths": u8_paths,
+    "u8_shortest_paths_all": u8_paths_all,
     "j9_neighbours": j9_neighbours,
+    "j9_neighbours_all": j9_neighbours_all,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"

@@ -6,7 +6,7 @@ from quern.functions import documents as df_
 from quern.functions import text as tx
 from quern.operators import decisions as dec
 from quern.operators import joins, records
-from quern.operators.topk import cosine, rerank
+from quern.operators.topk import cosine, rerank, similar
 from quern.queries.corpus import text_code
 from quern.session import spill, spread
 from quern.sources import files
@@ -91,7 +91,7 @@ def h12_lcs(s, d):
 
 
 def h10_critical(s, d):
-    o = table(s, d, "lineitem").where("l_orderkey < 300").select(F.col("l_orderkey").cast("bigint").alias("plan"), F.col("l_linenumber").cast("bigint").alias("node"), F.max("l_quantity").over(_w("l_orderkey", "l_linenumber")).cast("double").alias("cost")).distinct()
+    o = table(s, d, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("plan"), F.col("l_linenumber").cast("bigint").alias("node"), F.max("l_quantity").over(_w("l_orderkey", "l_linenumber")).cast("double").alias("cost")).distinct()
     return dec.critical_paths(o.select("plan", "node", "cost", F.array(F.floor(F.col("node") / 2).cast("bigint")).alias("depends")))
 
 
@@ -103,9 +103,10 @@ def _w(*keys):
 
 def k2_rerank(s, d):
     e = table(s, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    c = e.join(F.broadcast(q)).select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("similarity"), (F.col("label") / 10.0).alias("confidence"), (F.col("vec_id") % 90).alias("days"))
-    return _r(rerank(c, {"similarity": 0.55, "confidence": 0.15}, F.col("days"), 0.15, 10).select("vec_id", "score"), "score", digits=5)
+    q = e.where("vec_id % 50 = 0")
+    near = similar(q, e, "vec_id", "embedding", 0.15)
+    c = near.join(e.select("vec_id", (F.col("label") / 10.0).alias("confidence"), (F.col("vec_id") % 90).alias("days")), "vec_id").select("vec_id", "query_id", "similarity", "confidence", "days")
+    return _r(rerank(c, {"similarity": 0.55, "confidence": 0.15}, F.col("days"), 0.15, 10, "query_id").select("query_id", "vec_id", "score"), "score", digits=5)
 
 
 def k4_odds(s, d):
@@ -153,6 +154,13 @@ def c29_cache(s, d):
     return _r(dec.cache_lookup(e.where("vec_id % 50 = 0").select("key", "space", "v"), e.where("vec_id % 3 = 0").drop("vec_id"), "key", "space", "v", "answer", 0.2), "similarity", digits=4)
 
 
+def c29_cache_all(s, d):
+    """c29 over every row as a cache entry; the requests' own keys are new, so that each is looked up by similarity."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("label").alias("space"), F.col("embedding").alias("v"), F.concat(F.lit("a"), "vec_id").alias("answer"), "vec_id")
+    requests = e.where("vec_id % 50 = 0").select(F.concat(F.lit("q"), "key").alias("key"), "space", "v")
+    return _r(dec.cache_lookup(requests, e.drop("vec_id"), "key", "space", "v", "answer", 0.2), "similarity", digits=4)
+
+
 def c28_beliefs(s, d):
     o = _runs(s, d).where("task_type is not null and model_id is not null and verifier_score is not null and arm is not null").select("task_type", "model_id", "arm", (F.col("verifier_score") * 0.5).alias("s"))
     return _r(dec.belief_fold(o, ["task_type"], "model_id", "s", "arm"), "confidence", digits=5)
@@ -225,6 +233,7 @@ QUERIES = {
     "c24_budget_sample": c24_sample,
     "c28_belief_fold": c28_beliefs,
     "c29_cache_lookup": c29_cache,
+    "c29_cache_lookup_all": c29_cache_all,
     "u1_first_wins": u1_first_wins,
     "u2_delta_merge": u2_merge,
     "u3_repeated_keys": lambda s, d: dec.repeated(table(s, d, "task_events"), F.col("id")),

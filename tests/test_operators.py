@@ -286,3 +286,36 @@ def test_funnel_drops_repeated_phrases_but_for_formulaic_texts(spark):
     assert out[0].endswith("gram") and out[1] is None and out[2] is None
     plain = {r["id"]: r["reason"] for r in dedup.funnel(df, "id", "text").collect()}
     assert plain[0] == plain[1] == out[0] and plain[2] is None
+
+
+def test_queries_see_whole_tables(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(8)
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    spark.createDataFrame([(i,) for i in range(1, 401)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    edges = {(u, (u * 7 + 3) % 401) for u in range(1, 401)}
+    edges |= {(v, u) for u, v in edges}
+    depth, front = {1: 0}, {1}
+    while front:
+        front = {v for u, v in edges if u in front} - set(depth)
+        depth |= dict.fromkeys(front, max(depth.values()) + 1)
+    assert {tuple(r) for r in run("u8_shortest_paths_all")} == set(depth.items())
+    assert {tuple(r) for r in run("j9_neighbours_all")} == {x for x in depth.items() if x[1] <= 2}
+    spark.createDataFrame([(995 + i, "O", f"p{i}") for i in range(9)], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    level = [hashlib.sha256(f"p{i}".encode()).hexdigest() for i in range(9)]
+    while len(level) > 1:
+        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], [*level[1::2], level[-1]])]
+    assert [tuple(r) for r in run("h2_merkle")] == [("O", level[0])]
+    spark.createDataFrame([(k, n, float(k + n)) for k in (299, 300, 5000) for n in (1, 2, 3, 4)], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {(r["plan"], r["critical"]) for r in run("h10_critical_path")} == {(k, 3 * k + 7.0) for k in (299, 300, 5000)}
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(160)]
+    spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    cos = lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+    asked = [0, 50, 100, 150]
+    ranked = {q: sorted((-(0.55 * cos(v, vectors[q]) + 0.015 * (i % 5) + 0.1 / (1 + i % 90 / 30)), i) for i, v in enumerate(vectors) if cos(v, vectors[q]) >= 0.15)[:10] for q in asked}
+    assert {(r["query_id"], r["vec_id"]) for r in run("k2_rerank")} == {(q, i) for q in asked for _, i in ranked[q]}
+    assert {(r["key"], r["answer"]) for r in run("c29_cache_lookup_all")} == {(f"q{q}", f"a{q}") for q in asked}
