@@ -8,7 +8,7 @@ kept; p4_found names the first.
 
 An ending is abrupt if the text stops without a mark that closes a sentence and isn't short, coded or a list. Whether the last
 item of a list of unpunctuated items was cut is seen in all answers: it never occurs as an item that another one follows, while
-an item of at least two traces begins with it.
+such an item, of any length and of any trace, begins with it.
 
 Languages come from the byte network of the language operator, fitted on labelled documents, else from word lists. Null traces
 are empty answers; input that isn't JSON is itself the question; rows without a trace_id are left out; repeated trace_ids come
@@ -81,6 +81,8 @@ _TAIL = re.compile(r"(?:\(\s*[\d.,]+\s*\w*\s*\)|(?:→|=>|->)\s*[\d.,]+\s*\w{0,3
 _FENCES = re.compile(r"```.*?```", re.S)
 _LABEL = re.compile(r"^\W*(?:[^\W\d_]+[ ]?){1,4}\s*:\s*")
 _INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
+#: Characters from which a cut item is looked up by its beginning.
+SHORT = 24
 #: Characters up to which a text may be a filler.
 FILLER_CHARS = 60
 
@@ -130,7 +132,7 @@ def _parts(text: str) -> list[str]:
 
 def is_refusal(answer: str) -> bool:
     parts = _parts(answer.replace("’", "'"))
-    if not parts or len(words(answer)) > 90:
+    if not parts:
         return False
     declined = False
     for part in parts:
@@ -289,9 +291,16 @@ def flags(traces: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
                 yield _flags(df.iloc[at : at + 500], model)
 
     judged, _ = spill(spread(slim).mapInPandas(run, "trace_id bigint, defects array<string>, tail string, items array<string>"), "pairs")
-    followed = judged.select("trace_id", F.explode("items").alias("item")).groupBy("item").agg(F.countDistinct("trace_id").alias("count"))
-    prefixes = followed.where("count >= 2 and length(item) > 3").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("item") - 1, F.lit(200))), lambda i: F.rtrim(F.substring(F.col("item"), F.lit(1), i)))).alias("tail")).distinct()
-    cut = judged.where("tail is not null").select("tail").distinct().join(followed.select(F.col("item").alias("tail")), "tail", "left_anti").join(prefixes, "tail", "left_semi").withColumn("cut", F.lit(True))
+    followed = judged.select(F.explode("items").alias("item")).distinct()
+    head = F.substring(F.col("item"), 1, SHORT)
+    # A tail of SHORT characters and more meets the items with its first ones; a shorter one the beginnings of its own length.
+    tails = judged.where("tail is not null").select("tail").distinct().join(followed.select(F.col("item").alias("tail")), "tail", "left_anti")
+    begun = followed.where("length(item) > 3")
+    starts = begun.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("item") - 1, F.lit(SHORT - 1))), lambda i: F.rtrim(F.substring(F.col("item"), F.lit(1), i)))).alias("tail")).distinct()
+    brief = tails.where(F.length("tail") < SHORT).join(starts, "tail", "left_semi")
+    heads = begun.where(F.length("item") > SHORT).select(head.alias("head"), "item")
+    long = tails.where(F.length("tail") >= SHORT).withColumn("head", F.substring("tail", 1, SHORT)).join(heads, "head").where("startswith(item, tail)").select("tail").distinct()
+    cut = brief.unionByName(long).withColumn("cut", F.lit(True))
     broken = F.array_contains("defects", "truncated")
     with_tail = judged.join(cut, "tail", "left").withColumn("defects", F.when(F.col("cut") & ~broken, F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")))
     every = with_tail.groupBy("trace_id").agg(F.array_distinct(F.flatten(F.collect_list("defects"))).alias("d"))

@@ -176,3 +176,13 @@ def test_runs_join_single_sentences():
 @pytest.mark.parametrize("label,want", [("es_MX", "es"), ("castellano", "es"), ("EN", "en"), ("de-AT", "de"), ("català", "ca"), ("fre", "fr"), ("Portuguese", "pt"), ("ita", "it"), ("und", None), ("mul", None), ("zxx", None), ("", None), (None, None), ("??", None), ("n/a", None)])
 def test_labels(label, want):
     assert langwords.label_language(label) == want
+
+
+def test_long_items_and_long_refusals(spark):
+    item = " ".join(f"stage{i}" for i in range(40))  # over 300 characters
+    rows = [(1, f"- {item}\n- short piece"), (2, f"- other piece\n- {item[:250]}"), (3, f"- other piece\n- {item[:22]}"), (4, f"- other piece\n- unlike {item[:250]}")]
+    refusal = "I cannot help with that. " * 25
+    df = spark.createDataFrame([(i, "Which stages are there?", a) for i, a in [*rows, (5, refusal)]], "trace_id long, input string, final_answer string")
+    out = {r["trace_id"]: r["defects"] for r in pairs.flags(df).collect()}
+    assert "truncated" in out[2] and "truncated" in out[3] and "truncated" not in out[4] and "truncated" not in out[1]
+    assert "refusal" in out[5]
