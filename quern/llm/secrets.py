@@ -62,10 +62,14 @@ PROSE = re.compile(
     r"(?i)\b(?:password|passwd|passphrase|pwd|token|secret|api[ _-]?key|clave|contrase[ñn]a|passwort|kennwort|schl[üu]ssel|mot de passe|senha|contrasenya|chave|chiave)\b"
     r"(?:\s+(?:for|de|of|para|pour|für|per|del|da|do|di|von)\s+[\w.\-]+)?\s*(?:\s(?:is|es|est|ist|é|è)\s|[:=/]|\s)\s*[\"'`]?([^\s\"'`,;]+)"
 )
+JSON_PAIR = re.compile(r"""["'](?:name|key|id)["']\s*:\s*["']([^"'\n]*)["'][^{}\n]*?["']value["']\s*:\s*["']([^"'\n]*)["']""")
+#: A key whose value is on the lines below: a YAML block, or quoted pieces.
+BLOCK_KEY = re.compile(r"""^\s*(?:-\s+)?["']?([A-Za-z_À-ÿ][\wÀ-ÿ.\-]*)["']?\s*:\s*[|>][+\-\d]*\s*(?:#.*)?$""")
+OPEN_KEY = re.compile(r"""(["']?[A-Za-z_À-ÿ][\wÀ-ÿ.\-]*["']?\]?)\s*(?::\s*str\s*=|=>|:=|=|:)\s*\(?\s*\\?\s*$""")
 YAML_NAME = re.compile(r"^(\s*-?\s*)name:\s*[\"']?([\w.\-]+)[\"']?\s*$")
 YAML_VALUE = re.compile(r"^\s*value:\s*(\"[^\"\n]*\"|'[^'\n]*'|[^\s#].*?)\s*$")
 PIECE = re.compile(r"""^\s*[+.]?\s*[bBrRuUfF]{0,2}(["'`])([^"'`\n]*)\1\s*(?:\+|\\|\)|;|,|$)""")
-INTERESTING = re.compile(r"(?i)pass|pwd|clave|contra|secret|token|key|cred|auth|bearer|basic|login|senha|kennwort|chave|chiave|BEGIN|://|\bk\b|value|sk-|[srp]k_|gh[opsur]_|github_pat|glpat|xox|AKIA|ASIA|AIza|eyJ|hyk\.|hf_|npm_|SG\.|identified")
+INTERESTING = re.compile(r"(?i)pass|pwd|clave|contra|secret|token|key|cred|auth|bearer|basic|login|senha|kennwort|chave|chiave|BEGIN|://|\bk\b|value|sk-|[srp]k_|gh[opsur]_|github_pat|glpat|xox|AKIA|ASIA|AIza|eyJ|hyk\.|hf_|npm_|SG\.|identified|parola|schl[üu]ssel|jwt|session|cookie|pat")
 
 #: Last words of a key that name a credential, without separators and accents.
 STRONG = (
@@ -283,7 +287,7 @@ def scan(text: str, path: str = "") -> list[Finding]:
             shift = 1 if m[2][0] in "\"'" else 0
             if accepts(sensitivity(m[1]), value, shift == 1):
                 add(line_no, "option", m[1], (begin + m.start(2) + shift, begin + m.start(2) + shift + len(value)))
-        for rx in (XML_PAIR, XML_TAG):
+        for rx in (XML_PAIR, XML_TAG, JSON_PAIR):
             for m in rx.finditer(line):
                 if accepts(sensitivity(m[1]), m[2], True):
                     add(line_no, "assignment", where.of(line, m[1]), (begin + m.start(2), begin + m.end(2)))
@@ -292,6 +296,24 @@ def scan(text: str, path: str = "") -> list[Finding]:
             shift = 1 if m[1][0] in "\"'" else 0
             if accepts(sensitivity(paired[0]), value, shift == 1):
                 add(line_no, "assignment", where.of(line, paired[0]), (begin + m.start(1) + shift, begin + m.start(1) + shift + len(value)))
+        if (m := BLOCK_KEY.match(line) or OPEN_KEY.search(line)) and sensitivity(m[1]):
+            block, first, spans, follow, f_at = m.re is BLOCK_KEY, 0, [], at, line_no
+            depth = len(line) - len(line.lstrip())
+            while f_at < len(lines):
+                own = lines[f_at]
+                if block and own.strip() and len(own) - len(own.lstrip()) <= depth or not block and not PIECE.match(own):
+                    break
+                if own.strip():
+                    p = None if block else PIECE.match(own)
+                    a, b = (len(own) - len(own.lstrip()), len(own.rstrip())) if block else p.span(2)
+                    first = first or f_at + 1
+                    spans.append((follow + a, follow + b))
+                follow, f_at = follow + len(own) + 1, f_at + 1
+                if not block and not re.search(r"[\"'`]\s*[+\\]?\s*$", own):
+                    break
+            value = "".join(text[a:b] for a, b in spans)
+            if spans and accepts(sensitivity(m[1]), value, True) and not TOKEN.search(value):
+                add(first, "assignment", where.of(line, m[1]), *spans)
         position = 0
         while m := ASSIGNMENT.search(line, position):
             position = m.end()
@@ -314,14 +336,15 @@ def scan(text: str, path: str = "") -> list[Finding]:
             rest, no = line[stop + len(m["quote"]) - begin :].strip(), line_no
             follow, f_at = at, no
             if stop < end and (rest in ("", "+", "\\", ".") and (rest or line[: m.end()].rstrip().endswith(("(" + m["quote"], "(b" + m["quote"])) or "(" in line[m.start() : m.end()])):
-                while f_at < len(lines) and (p := PIECE.match(lines[f_at])) and f_at - line_no < 50:  # further pieces
+                while f_at < len(lines) and (p := PIECE.match(lines[f_at])):  # further pieces
                     spans.append((follow + p.start(2), follow + p.end(2)))
                     value += p[2]
                     follow, f_at = follow + len(lines[f_at]) + 1, f_at + 1
                     if not re.search(r"[\"'`]\s*[+\\]?\s*$", lines[f_at - 1]):
                         break
             if accepts(level, value, True) or len(spans) > 1 and literal(value) and (TOKEN.match(value) or level and random_like(value)):
-                add(line_no, "assignment", where.of(line, key), *spans)
+                ahead = value[: len(value) - len(value.lstrip())].count("\n") if len(m["quote"]) == 3 else 0
+                add(line_no + ahead, "assignment", where.of(line, key), *spans)
         for m in PROSE.finditer(line):
             value = m[1].rstrip(".)")
             if literal(value) and (TOKEN.match(value) or random_like(value, 8) or re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and len(value) >= 8) and not re.match(r"^[\w.\-]+\(", value):

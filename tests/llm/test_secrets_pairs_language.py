@@ -186,3 +186,17 @@ def test_long_items_and_long_refusals(spark):
     out = {r["trace_id"]: r["defects"] for r in pairs.flags(df).collect()}
     assert "truncated" in out[2] and "truncated" in out[3] and "truncated" not in out[4] and "truncated" not in out[1]
     assert "refusal" in out[5]
+
+
+@pytest.mark.parametrize(("path", "text", "line"), [
+    ("a.yaml", "db:\n  password: |\n    Kestrel_4871x\n  port: 1", 3),
+    ("a.py", "PASSWORD = (\n    'Kestrel_'\n    '4871x'\n)", 2),
+    ("a.json", '{\n"password":\n  "Kestrel_4871x"\n}', 3),
+    ("a.json", '{"name": "DB_PASSWORD", "value": "Kestrel_4871x"}', 1),
+    ("a.py", 'password = """\nKestrel_4871x\n"""', 2),
+    ("a.ini", "parola = Kestrel_4871x", 1),
+])
+def test_values_below_their_key(path, text, line):
+    found = secrets.scan(text, path)
+    assert [f.line_no for f in found] == [line]
+    assert "Kestrel" not in secrets.redact(text, found) and "4871x" not in secrets.redact(text, found)
