@@ -55,11 +55,19 @@ def drop_spill(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Bytes of an input up to which it is dealt out anew. Only how the rows lie depends on it, never which rows come out.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: a small table may be one row group, hence one task. Inputs of as many partitions as there are cores
-    stay as they are, so nothing large is shuffled. For plans without a shuffle of their own, as counting partitions runs one."""
+    """df over all cores if it is small by Spark's estimate: a small table may be one row group, hence one task, which no read
+    setting can split. Larger inputs are read in as many parts as spark.sql.files.maxPartitionBytes gives and never shuffled
+    here. For plans without a shuffle of their own."""
+    plan = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def parallelism(spark: SparkSession) -> int:
