@@ -68,8 +68,7 @@ def label_language(label: str | None) -> str | None:
     return None
 
 
-@lru_cache(maxsize=200_000)
-def _token_scores(token: str) -> tuple[float, ...]:
+def word_scores(token: str) -> tuple[float, ...]:
     out = dict.fromkeys(LANGUAGES, 0.0)
     parts = token.split("'")
     for head in parts[:-1]:
@@ -92,6 +91,11 @@ def _token_scores(token: str) -> tuple[float, ...]:
     return tuple(out.values())
 
 
+@lru_cache(maxsize=200_000)
+def _token_scores(token: str) -> tuple[float, ...]:
+    return word_scores(token)
+
+
 def scores(text: str) -> dict[str, float]:
     found = [_token_scores(t) for t in _TOKEN.findall(text.lower().replace("’", "'"))]
     return dict(zip(LANGUAGES, map(sum, zip(*found)))) if found else dict.fromkeys(LANGUAGES, 0.0)

@@ -10,14 +10,17 @@ An ending is abrupt if the text stops without a mark that closes a sentence and
 item of a list of unpunctuated items was cut is seen in all answers: it never occurs as an item that another one follows, while
 such an item, of any length and of any trace, begins with it.
 
-Languages come from the byte network of the language operator, fitted on labelled documents, else from word lists. Null traces
-are empty answers; input that isn't JSON is itself the question; rows without a trace_id are left out; repeated trace_ids come
+Languages: an answer whose letters are mostly of another script than the question's is in another language, whatever the
+language (Cyrillic, Greek, Arabic, Chinese, Japanese and so on), unless the question names a language of that script. Where both
+are Latin, the seven languages are told apart by the byte network of the language operator, fitted on labelled documents, and by
+word lists; by the lists alone where there are no such documents. Null traces are empty answers; input that isn't JSON is itself the question; rows without a trace_id are left out; repeated trace_ids come
 out once, with the first defect in the order above.
 """
 
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from quern.session import spill, spread
 
 ORDER = ("empty", "refusal", "copy", "truncated", "other_language")
 #: What two languages have to explain better than one (log probability), and the weight of a function word beside the network.
-LEAD = 2.2
+LEAD = 1.3
 WORD_WEIGHT = 1.5
 
 #: What stands where an answer should be (folded, without marks).
@@ -73,9 +76,9 @@ _NUMBER = {
     for n, group in enumerate("two dos deux zwei dois duas due dues|three tres trois drei três tre|four cuatro quatre vier quatro quattro|five cinco cinq fünf cinque cinc|six seis sechs sei sis|seven siete sept sieben sete sette set|eight ocho huit acht oito otto vuit|nine nueve neuf neun nove nou|ten diez dix zehn dez dieci deu".split("|"), 2)
     for w in group.split()
 }
-_ANNOUNCES = re.compile(r"(?<![\w,.])(\d{1,2}|[^\W\d_]{3,7})\s+(?:[^\W\d_]+\s+){0,3}?[^\W\d_]+\s*:\s*$")
+_ANNOUNCES = re.compile(r"(?<![\w,.])(?!(?:1[5-9]|20)\d\d\b)(\d+|[^\W\d_]{3,7})\s+(?:[^\W\d_]+\s+){0,3}?[^\W\d_]+\s*:\s*$")
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+(.*)$")
-_ENDS = re.compile(r"[.!?。！？](?:[\"'»”’)\]*_`]|\s)*$")
+_CLOSERS = "\"'»”’)]*_` \t\r\n\f\v\u00a0"
 _ORDINAL = re.compile(r"(?i)\b(?:am|den|dem|vom|zum|im|der|ab|bis)\s+\d{1,2}\.$")
 _TAIL = re.compile(r"(?:\(\s*[\d.,]+\s*\w*\s*\)|(?:→|=>|->)\s*[\d.,]+\s*\w{0,3}|\"[^\"\n]{1,40}\"|`[^`\n]{1,60}`|https?://[\w.\-]+\.\w+(?:/\S*)?|\[\d+\])\s*$")
 _FENCES = re.compile(r"```.*?```", re.S)
@@ -83,8 +86,23 @@ _LABEL = re.compile(r"^\W*(?:[^\W\d_]+[ ]?){1,4}\s*:\s*")
 _INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 #: Characters from which a cut item is looked up by its beginning.
 SHORT = 24
-#: Characters up to which a text may be a filler.
-FILLER_CHARS = 60
+_FOUR_WORDS = re.compile(r"(?:[\W_]*[^\W_]+[\W_]){3}[\W_]*[^\W_]")
+#: Letters that aren't Latin, and signs between them.
+_BEYOND = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2dff\u2e80-\u2fff\u3040-\ufaff\ufb1d-\ufdff\ufe70-\ufefc\uff66-\uffdc\U00010000-\U0003ffff]")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Scripts of which a letter stands for a syllable or a word.
+DENSE = ("CJK", "JAPANESE", "HANGUL")
+#: Beginnings of names of languages, by the script that they are written in.
+SCRIPT_NAMES = {
+    "CYRILLIC": "russian ruso russe russisch russo rus ukrain ucrani ukrainisch ucraini bulgar búlgar serb serbi",
+    "GREEK": "greek grieg grec griech greg grec",
+    "ARABIC": "arab árab àrab persian persa farsi perse persisch urdu",
+    "HEBREW": "hebr ebraic",
+    "DEVANAGARI": "hindi",
+    "CJK": "chines chino chinois chinês cines xinès mandar",
+    "JAPANESE": "japan japon giappon",
+    "HANGUL": "korean corean coréen coreà koreanisch",
+}
 
 
 def question_of(source: str | None) -> str:
@@ -117,15 +135,44 @@ def is_empty(answer: str | None) -> bool:
             return True
     except ValueError:
         pass
-    bare = re.sub(r"```\w*|<[^<>]*>", "", text)
+    bare = re.sub(r"```\w*|<[^<>]*>", "", text) if "`" in text or "<" in text else text
     if not re.search(r"[^\W_]", bare):
         return True
-    if len(bare.strip()) > FILLER_CHARS:
+    if _FOUR_WORDS.match(bare):
         return False
     folded = "".join(c for c in unicodedata.normalize("NFD", bare.lower()) if c.isalnum())
     return folded in FILLERS and len(words(bare)) <= 3
 
 
+def script_of(text: str) -> tuple[str, int]:
+    """The script of most letters of a text, and how many it has. A letter of a dense script counts three times."""
+    if text.isascii() or not (beyond := [c for c in _BEYOND.findall(text) if c.isalpha()]):
+        return "LATIN", 0
+    counts = Counter()
+    for c, n in Counter(beyond).items():
+        counts[unicodedata.name(c, "OTHER").replace("-", " ").split()[0]] += n
+    kana = counts.pop("HIRAGANA", 0) + counts.pop("KATAKANA", 0) + counts.pop("HALFWIDTH", 0)
+    if kana:
+        counts["JAPANESE"] = kana + (counts.pop("CJK", 0) if kana * 10 >= counts["CJK"] else 0)
+    top, n = max(counts.items(), key=lambda x: (x[1], x[0]))
+    latin = len(_LETTER.findall(text)) - len(beyond)
+    return (top, n) if n * (3 if top in DENSE else 1) > latin else ("LATIN", latin)
+
+
+def script_differs(question: str, answer: str) -> bool:
+    """Whether the answer is in another script, for which the question didn't ask. A few letters are a name or a formula."""
+    asked, _ = script_of(question)
+    given, n = script_of(answer)
+    if asked == given or not _LETTER.search(question):
+        return False
+    if given == "LATIN":
+        return len(language.tokens(answer)) >= 4
+    if n < (8 if {asked, given} == {"CJK", "JAPANESE"} else 3 if given in DENSE else 6):
+        return False
+    heads = tuple(SCRIPT_NAMES.get(given, given.lower()).split())
+    return not any(w.startswith(heads) for w in words(question))
+
+
 def _parts(text: str) -> list[str]:
     return [p for p in re.split(r"(?<=[.!?;:…])\s+|\n+", text) if re.search(r"[^\W\d_]", p)]
 
@@ -135,7 +182,7 @@ def is_refusal(answer: str) -> bool:
     if not parts:
         return False
     declined = False
-    for part in parts:
+    for part in sorted(parts, key=len):  # the short ones settle most answers
         if REFUSALS.search(part):
             declined = True
         elif not COURTESY.search(part) and len(words(part)) > 2:
@@ -173,6 +220,11 @@ def _unclosed(text: str) -> bool:
     return bool(quotes % 2 and re.search(r'(?:^|[\s(])"[^"]*$', prose))
 
 
+def _ends(text: str) -> bool:
+    """Whether the last sign that isn't a closing one ends a sentence."""
+    return text.rstrip(_CLOSERS)[-1:] in tuple(".!?。！？")
+
+
 def truncation(answer: str, function_words: set[str]) -> tuple[bool, str | None]:
     """(whether it breaks off; else its last list item, if only other answers can tell)."""
     text = _INVISIBLE.sub("", unicodedata.normalize("NFC", answer)).strip()
@@ -186,14 +238,14 @@ def truncation(answer: str, function_words: set[str]) -> tuple[bool, str | None]
         return True, None
     lines = [line for line in text.split("\n") if line.strip()]
     for i, line in enumerate(lines):
-        if m := _ANNOUNCES.search(line):
+        if line.rstrip().endswith(":") and (m := _ANNOUNCES.search(line)):
             n = int(m[1]) if m[1].isdigit() else _NUMBER.get(m[1].lower(), 0)
             items = 0
             for follower in lines[i + 1 :]:
                 if not _ITEM.match(follower):
                     break
                 items += 1
-            if 2 <= n <= 50 and items < n and (items or i == len(lines) - 1):
+            if n >= 2 and items < n and (items or i == len(lines) - 1):
                 return True, None
     last = lines[-1].strip() if lines else ""
     if last.endswith("```"):
@@ -208,11 +260,11 @@ def truncation(answer: str, function_words: set[str]) -> tuple[bool, str | None]
         return len(words(bare)) > 1, None
     if _ORDINAL.search(bare):
         return True, None
-    if _ENDS.search(bare):
+    if _ends(bare):
         return False, None
     if m := _TAIL.search(bare):
         ahead = bare[: m.start()].rstrip()
-        if not ahead or _ENDS.search(ahead) or item and not item[1].replace(m[0].strip(), "").strip():
+        if not ahead or _ends(ahead) or item and not item[1].replace(m[0].strip(), "").strip():
             return False, None
         if not re.search(r"[^\W\d_]", ahead):
             return False, None
@@ -220,7 +272,7 @@ def truncation(answer: str, function_words: set[str]) -> tuple[bool, str | None]
     stops = bool(own) and own[-1] in function_words
     if item:
         others = [m[1].strip() for line in lines[:-1] if (m := _ITEM.match(line))]
-        if stops or others and all(_ENDS.search(o) for o in others):
+        if stops or others and all(_ends(o) for o in others):
             return True, None
         return False, item[1].strip()
     if len(lines) == 1 and len(own) <= 3:
@@ -239,43 +291,49 @@ def list_items(answer: str | None) -> list[str]:
 _FUNCTION = {lang: {w for w in text.split() if w not in ("no", "sí", "sì", "ja", "nein", "oui", "non", "yes", "sim", "não")} for lang, text in langwords.WORDS.items()}
 
 
-def _flags(df: pd.DataFrame, model) -> pd.DataFrame:
+def _flags(df: pd.DataFrame, reader: language.Reader) -> pd.DataFrame:
     questions = [question_of(x) for x in df["input"]]
     answers = [a or "" for a in df["final_answer"]]
-    units: list[str] = []
+    empty = [is_empty(a) for a in answers]
+    other = [not e and script_differs(q, a) for q, a, e in zip(questions, answers, empty)]
+    units: list[list[str]] = []
     spans = []
-    for q, a in zip(questions, answers):
-        q_own = language.sentences(q)
-        q_words = " ".join(words(q))
-        a_own = [s for s in language.sentences(a) if " ".join(words(s)) not in q_words]
-        spans.append((len(units), len(units) + len(q_own), len(units) + len(q_own) + len(a_own)))
-        units += q_own + a_own
-    score = WORD_WEIGHT * np.array([[found[x] for x in langwords.LANGUAGES] for found in map(langwords.scores, units)]).reshape(-1, len(langwords.LANGUAGES))
-    score = score * 2 if model is None else score + language.classify(model, units)[0]
+    for q, a, e, o in zip(questions, answers, empty, other):
+        x = len(units)
+        if not e and not o and not (_BEYOND.search(a) and script_of(a)[0] != "LATIN"):
+            units += [ws for _, ws in language.pieces(q)]
+            y = len(units)
+            said = " ".join(language.tokens(q))
+            units += [ws for _, ws in language.pieces("\n".join(a.split("```")[::2])) if " ".join(ws) not in said]
+        else:
+            y = x
+        spans.append((x, y, len(units)))
+    total, _, listed = reader.read(units)
+    score = WORD_WEIGHT * listed
+    score = score * 2 if reader.model is None else score + total
     rows = []
-    for trace_id, q, a, (x, y, z) in zip(df["trace_id"], questions, answers, spans):
+    for trace_id, q, a, e, o, (x, y, z) in zip(df["trace_id"], questions, answers, empty, other, spans):
         found, tail = [], None
-        q_words = words(q)
-        asked = score[x:y].sum(axis=0)
-        q_lang = langwords.LANGUAGES[int(asked.argmax())] if y > x else None
-        if is_empty(a):
+        if e:
             found.append("empty")
         else:
+            asked, given = score[x:y].sum(axis=0), score[y:z].sum(axis=0)
+            q_lang = langwords.LANGUAGES[int(asked.argmax())] if y > x else None
+            a_lang = langwords.LANGUAGES[int(given.argmax())] if z > y else None
             if is_refusal(a):
                 found.append("refusal")
-            if is_copy(q_words, a):
+            if is_copy(words(q), a):
                 found.append("copy")
-            given = score[y:z].sum(axis=0)
-            a_lang = langwords.LANGUAGES[int(given.argmax())] if z > y else None
             cut, tail = truncation(a, _FUNCTION.get(a_lang or q_lang, set()))
             if cut:
                 found.append("truncated")
-            if q_lang and a_lang and sum(len(words(u)) for u in units[y:z]) >= 4:
+            if not o and q_lang and a_lang and sum(map(len, units[y:z])) >= 4:
                 one = (asked + given).max()
                 for l in langwords.requested(q):
                     one = max(one, asked.max() + given[langwords.LANGUAGES.index(l)])
-                if asked.max() + given.max() - one > LEAD:
-                    found.append("other_language")
+                o = asked.max() + given.max() - one > LEAD
+            if o:
+                found.append("other_language")
         rows.append((trace_id, found, tail, list_items(a)))
     return pd.DataFrame(rows, columns=["trace_id", "defects", "tail", "items"])
 
@@ -286,9 +344,10 @@ def flags(traces: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     slim = traces.where("trace_id is not null").select(traces["trace_id"].cast("bigint"), traces["input"].cast("string"), traces["final_answer"].cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = language.Reader(model)
         for df in frames:
             for at in range(0, len(df), 500):
-                yield _flags(df.iloc[at : at + 500], model)
+                yield _flags(df.iloc[at : at + 500], reader)
 
     judged, _ = spill(spread(slim).mapInPandas(run, "trace_id bigint, defects array<string>, tail string, items array<string>"), "pairs")
     followed = judged.select(F.explode("items").alias("item")).distinct()

@@ -149,10 +149,94 @@ def test_held_out_accuracy(network):
     assert ((mean.sum(axis=1) > 0.99) & (mean.sum(axis=1) < 1.01)).all()
 
 
-def test_stream_equals_windows(network):
-    windows = [language.plain(s)[: language.WINDOW] for s in ("Hello there", "x", "El riu i el vell pont d'aquesta ciutat " * 2)]
-    alone = [network.log_probabilities([w])[0] for w in windows]
-    assert abs(network.log_probabilities(windows) - alone).max() < 1e-4
+def test_cached_responses_equal_the_network_over_whole_windows(network):
+    import numpy as np
+
+    units = [language.tokens(s) for s in ("Hello there", "x", "El riu i el vell pont d'aquesta ciutat " * 5, "")]
+    p = network.p
+
+    def plainly(words):
+        """Every filter at every byte of the window that lies in one word with its blanks."""
+        best = np.full(language.WIDE, -np.inf)
+        for word in words:
+            data = np.frombuffer(f" {word} ".encode().ljust(4, b"\0"), dtype=np.uint8)
+            for k, w in enumerate(language.WIDTHS):
+                for at in range(len(data) - w + 1):
+                    part = slice(k * language.FILTERS, (k + 1) * language.FILTERS)
+                    best[part] = np.maximum(best[part], p["embed"][data[at : at + w]].ravel() @ p[f"w{w}"])
+        z = np.maximum(best + p["b"], 0) @ p["out"] + p["bias"]
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    reader = language.Reader(network)
+    for _ in range(2):  # the second time from what was kept
+        total, mean, _ = reader.read(units)
+        for unit, t, m in zip(units, total, mean):
+            each = [plainly(unit[a:b]) for a, b in language.windows_of(len(unit)) if b > a]
+            assert not each and not t.any() or abs(sum(np.maximum(e, -12) for e in each) - t).max() < 1e-3
+            assert not each or abs(sum(map(np.exp, each)) / len(each) - m).max() < 1e-4
+
+
+def test_gradients_by_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    names = ["el", "riu", "pont", "vell", "a", "ciutat"]
+    raw = [f" {w} ".encode().ljust(4, b"\0") for w in names]
+    size = np.array([len(x) for x in raw])
+    vocabulary = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(size) - size, size
+    ids = np.full((5, language.WINDOW), -1)
+    for row in ids:
+        n = rng.integers(1, 6)
+        row[:n] = rng.integers(0, len(names), n)
+    y = rng.integers(0, 7, 5)
+    model = language.ByteCnn(1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    class Same:
+        def random(self, shape):
+            return np.random.default_rng(8).random(shape)
+
+    def loss():
+        mask = (Same().random((5, language.WIDE)) > 0.3) / 0.7
+        out = 0.0
+        for i, row in enumerate(ids):
+            best = model.words([names[k] for k in row if k >= 0]).astype(np.float64).max(axis=0)
+            z = np.maximum(best + model.p["b"], 0) * mask[i].astype(np.float32) @ model.p["out"] + model.p["bias"]
+            out += np.log(np.exp(z).sum()) - z[y[i]]
+        return out / 5
+
+    g = model._gradients(ids, y, vocabulary, Same())
+    for name in ("embed", "w2", "w3", "w4", "out", "b", "bias"):
+        flat, want = model.p[name].reshape(-1), g[name].reshape(-1)
+        for at in np.argsort(-abs(want))[:3]:
+            old, eps = flat[at], 1e-3
+            flat[at] = old + eps
+            up = loss()
+            flat[at] = old - eps
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / (2 * eps) - want[at]) < 0.05 * abs(want[at]) + 1e-4
+
+
+@pytest.mark.parametrize(("answer", "question", "defect"), [
+    ("Этот документ описывает порядок хранения и сроки проверки.", Q, True),
+    ("Το έγγραφο αυτό περιγράφει τους κανόνες φύλαξης.", Q, True),
+    ("يصف هذا المستند قواعد الحفظ ومواعيد المراجعة.", Q, True),
+    ("本文件说明保存规则和复核期限。", Q, True),
+    ("この文書は保存の規則と確認の期限を説明します。", Q, True),
+    ("Das Dokument beschreibt die Regeln der Aufbewahrung.", "Что описывает этот документ?", True),
+    ("Этот документ описывает порядок хранения.", "Что описывает этот документ?", False),
+    ("Этот документ описывает порядок хранения.", "Translate into Russian: this document describes storage.", False),
+    ("The rate is α = 0.5 and the limit is Ω for every route.", Q, False),
+])
+def test_script_mismatch(answer, question, defect):
+    assert pairs.script_differs(question, answer) == defect
+
+
+def test_bounds_of_rules():
+    many = "There are 60 rules:\n" + "\n".join(f"- rule {i}." for i in range(59))
+    assert pairs.truncation(many, set())[0] and not pairs.truncation(many + "\n- rule 59.", set())[0]
+    assert pairs.is_empty("no" + " " * 90 + "answer") and not pairs.is_empty("no answer " * 40)
 
 
 def test_segments(spark, network):
