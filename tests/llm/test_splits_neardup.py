@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import neardup, splits
 
@@ -181,13 +182,18 @@ def test_counts_by_class_equal_counted_pairs(spark):
     assert all(rows[i][2] == rows[r["class_id"]][2] for (i, _), r in linked.items())
 
 
-def test_bitmaps_differ_in_two_bits_an_edit():
+def test_equal_bytes(spark):
     rng = np.random.default_rng(2)
-    ids = rng.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2)
-    other = ids.copy()
-    other[:20] = rng.integers(0, 2**63, 20, dtype=np.uint64)
-    maps = neardup.word_bitmaps(np.concatenate([ids, other]), np.array([200, 200])).view(np.uint64)
-    assert 0 < sum(int(x).bit_count() for x in maps[0] ^ maps[1]) <= 40
+    a = rng.integers(0, 4, (50, 8), dtype=np.uint8)
+    b = rng.integers(0, 4, (50, 8), dtype=np.uint8) * rng.choice([1, 85], (50, 8)).astype(np.uint8)
+    rows = list(zip(a.view(np.int64).ravel().tolist(), b.view(np.int64).ravel().tolist()))
+    got = spark.createDataFrame(rows, "a long, b long").select(neardup.equal_bytes(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in got] == (a == b).sum(axis=1).tolist()
+
+
+def test_jaccard_counts_occurrences():
+    a, b = "a a b c".split(), "a b b d".split()
+    assert neardup.jaccard(neardup.occurrences(a), neardup.occurrences(b)) == 2 / 6
 
 
 @pytest.mark.parametrize("value,want", [(" Train ", "train"), ("unassigned", None), ("", None), (None, None), ("DEV", "dev")])
