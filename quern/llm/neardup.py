@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import minwise
 from quern.llm.textform import words
 from quern.session import spill, spread
 
@@ -39,9 +39,9 @@ HASHES = 32
 BANDS = 48
 ROWS = 4
 #: Share of the minwise hashes that agree in each pair looked at.
-AGREEING = 0.375
+AGREEING = 0.4
 #: Words up to which a text also meets others by its words alone.
-SHORT = 32
+SHORT = 20
 #: Share of the longer text's words that may be inserted, deleted or replaced.
 MAX_EDITS = 0.25
 SEED = 5
@@ -54,35 +54,6 @@ def split_name(value: str | None) -> str | None:
     return None if name in NO_SPLIT else name
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8"))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = word_hash(word)
-        return h
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(29))
-
-
-def least_values(ids: np.ndarray, size: np.ndarray, parts: int, hashes: int) -> np.ndarray:
-    """(texts, hashes): minwise hashes of texts whose word hashes lie end to end in ids; a shingle is a word with the part of
-    the text in which it stands."""
-    rng = np.random.default_rng(SEED)
-    a, b = rng.integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, hashes, dtype=np.uint64)
-    first = np.cumsum(size) - size
-    place = np.arange(len(ids)) - np.repeat(first, size)
-    part = (place * parts // np.repeat(size, size)).astype(np.uint64)
-    tokens = _mixed(ids ^ (part * np.uint64(0x9E3779B97F4A7C15)))
-    return np.stack([np.minimum.reduceat(tokens * x + y, first) >> np.uint64(16) for x, y in zip(a, b)], axis=1)
-
-
 def bucket_hashes(least: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
     """(texts, bands): one hash for each of the drawn sets of rows."""
     rng = np.random.default_rng(SEED + 1)
@@ -90,9 +61,9 @@ def bucket_hashes(least: np.ndarray, bands: int, rows: int, salt: int) -> np.nda
     while len(drawn) < bands:
         drawn[tuple(sorted(rng.choice(least.shape[1], rows, replace=False).tolist()))] = None
     sets = np.array(list(drawn))
-    out = np.broadcast_to(_mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1 + salt * bands)), (len(least), bands))
+    out = np.broadcast_to(minwise.mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1 + salt * bands)), (len(least), bands))
     for r in range(rows):
-        out = _mixed(out ^ least[:, sets[:, r]])
+        out = minwise.mixed(out ^ least[:, sets[:, r]])
     return out.view(np.int64)
 
 
@@ -172,18 +143,16 @@ def _classes(prepared: DataFrame, hashes: int, bands: int, rows: int) -> DataFra
     grouped = prepared.groupBy("cls").agg(F.first("norm").alias("norm"), F.max("train").alias("train"), F.max(~F.col("train")).alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = minwise.WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [t.split(" ") for t in part.column("norm").to_pylist()]
-                size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-                ids = np.fromiter(map(known.__getitem__, (w for t in texts for w in t)), dtype=np.uint64, count=int(size.sum()))
-                least = least_values(ids, size, PARTS, hashes)
+                ids, size = minwise.flat([t.split(" ") for t in part.column("norm").to_pylist()], known)
+                least = minwise.least(minwise.in_parts(ids, size, PARTS), size, hashes, SEED)
                 found = list(bucket_hashes(least, bands, rows, 0))
                 short = np.flatnonzero(size <= SHORT)
                 if len(short):
-                    alone = bucket_hashes(least_values(ids[np.repeat(size <= SHORT, size)], size[short], 1, hashes), bands, rows, 1)
+                    alone = bucket_hashes(minwise.least(minwise.in_parts(ids[np.repeat(size <= SHORT, size)], size[short], 1), size[short], hashes, SEED), bands, rows, 1)
                     for i, more in zip(short, alone):
                         found[i] = np.concatenate([found[i], more])
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -207,11 +176,14 @@ def _verified(candidates: DataFrame, max_edits: float) -> DataFrame:
                 for t in (x, y):
                     if t not in known:
                         own = t.split(" ")
-                        known[t] = own, occurrences(own)
-                (own, own_set), (other, other_set) = known[x], known[y]
-                similarity[i] = jaccard(own_set, other_set)
+                        known[t] = own, set(own)
+                (own, own_words), (other, other_words) = known[x], known[y]
+                limit = max_edits * max(len(own), len(other))
+                if len(own_words - other_words) > limit or len(other_words - own_words) > limit:
+                    continue  # each word that the other text lacks costs an edit
+                similarity[i] = jaccard(occurrences(own), occurrences(other))
                 if similarity[i] * (1 + max_edits) >= 1 - max_edits - 1e-9:  # every pair within the limit
-                    keep[i] = edit_distance(own, other) <= max_edits * max(len(own), len(other))
+                    keep[i] = edit_distance(own, other) <= limit
             yield df.assign(jaccard=similarity)[keep][["a", "b", "jaccard"]]
 
     return candidates.mapInPandas(run, "a bigint, b bigint, jaccard double")
