@@ -11,8 +11,9 @@ Blank values, and authors that name nobody, bind nothing. Null text_ids are left
 texts that are not there bind nothing.
 """
 
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.textform import folded
@@ -35,9 +36,6 @@ NOBODY = (
 )
 
 WEIGHTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Components above this share of all texts are placed one by one, largest first; there are at most 1 / HEAVY of them.
-HEAVY = 0.001
-
 _ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñçß", "aaaaaaeeeeiiiiooooouuuuncs")
 
 
@@ -99,31 +97,45 @@ def _unit(c: Column, split: str, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(c, F.lit(split), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def assign(texts: DataFrame, families: DataFrame, weights: dict[str, float] | None = None, seed: int = 7, heavy: float = HEAVY) -> DataFrame:
+def _chosen(weights: dict[str, float], draws: dict[str, float]) -> str:
+    return min((-math.log(draws[s]) / w, s) for s, w in sorted(weights.items()) if w > 0)[1]
+
+
+def size_weights(sizes: list[tuple[int, int, dict[str, float]]], weights: dict[str, float]) -> dict[int, dict[str, float]]:
+    """Weights of the splits for groups of each size. sizes: (size, groups of that size, draws of the one group if there is one).
+
+    From the largest size on, a split can take a group if it still has that much room (if none has, the one with most), and its
+    weight is its room. What a size takes of the rooms is what its weights say on average, or what its only group draws."""
+    total = sum(n * c for n, c, _ in sizes)
+    room = {s: w / sum(weights.values()) * total for s, w in weights.items()}
+    out = {}
+    for n, count, draws in sorted(sizes, reverse=True, key=lambda x: x[0]):
+        able = {s: r for s, r in room.items() if r >= n} or {max(room, key=lambda s: (room[s], s)): 1.0}
+        out[n] = able
+        for s in [_chosen(able, draws)] if count == 1 else able:
+            room[s] -= n if count == 1 else n * count * able[s] / sum(able.values())
+    return out
+
+
+def assign(texts: DataFrame, families: DataFrame, weights: dict[str, float] | None = None, seed: int = 7) -> DataFrame:
     """(text_id, group_id, split): one split for each group; a text that nothing binds is a group of its own.
 
-    Heavy groups go to the split that lacks most; the rest is drawn by weighted rendezvous hashing with the weights that are
-    left, so a new group moves no other one."""
+    Weighted rendezvous hashing: each group draws a number for each split, and the least of -log(draw) / weight wins. The weights
+    are those of the group's size (size_weights), by one rule for all sizes: a group never goes where it has no room while
+    another split has, and the groups after it make up for what it took. The driver holds one row for each size that occurs, at
+    most the square root of twice the number of texts. As rooms depend on the sizes, new texts shift the weights a little, and
+    groups whose draws lie near the border may move; with the same sizes all stay."""
     weights = weights or WEIGHTS
     every = texts.where("text_id is not null").select("text_id").distinct()
     labelled, _ = spill(every.join(groups(texts, families), "text_id", "left").select("text_id", F.coalesce("group_id", "text_id").alias("group_id")), "labelled")
-    total = labelled.count()
-    large = labelled.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") > heavy * total).orderBy(F.desc("n"), "group_id").collect()  # 1 / heavy rows at most
-    left = {s: w / sum(weights.values()) * total for s, w in weights.items()}
-    placed = []
-    for g in large:
-        split = max(left, key=lambda s: (left[s], s))
-        left[split] -= g["n"]
-        placed.append((g["group_id"], split))
-    rest = {s: max(x, 0.0) for s, x in left.items()}
-    if not any(rest.values()):
-        rest = dict(weights)
-    scores = [F.struct((-F.log(_unit(F.col("group_id"), s, seed)) / F.lit(w)).alias("score"), F.lit(s).alias("split")) for s, w in sorted(rest.items()) if w > 0]
-    drawn = (F.least(*scores) if len(scores) > 1 else scores[0])["split"]
-    if not placed:
-        return labelled.select("text_id", "group_id", drawn.alias("split"))
-    fixed = labelled.sparkSession.createDataFrame(placed, "group_id bigint, placed string")
-    return labelled.join(F.broadcast(fixed), "group_id", "left").select("text_id", "group_id", F.coalesce("placed", drawn).alias("split"))
+    sized = labelled.groupBy("group_id").agg(F.count("*").alias("n"))
+    draws = [_unit(F.col("group_id"), s, seed).alias(s) for s in sorted(weights)]
+    each = sized.groupBy("n").agg(F.count("*").alias("groups"), F.min("group_id").alias("group_id")).select("n", "groups", F.struct(*draws).alias("draws")).collect()
+    by_size = size_weights([(r["n"], r["groups"], r["draws"].asDict()) for r in each], weights)
+    table = labelled.sparkSession.createDataFrame([(n, *[float(w.get(s, 0.0)) for s in sorted(weights)]) for n, w in by_size.items()], "n bigint, " + ", ".join(f"`w_{s}` double" for s in sorted(weights)))
+    scores = [F.struct(F.when(F.col(f"w_{s}") > 0, -F.log(_unit(F.col("group_id"), s, seed)) / F.col(f"w_{s}")).otherwise(float("inf")).alias("score"), F.lit(s).alias("split")) for s in sorted(weights)]
+    placed = sized.join(table, "n").select("group_id", F.array_min(F.array(*scores))["split"].alias("split"))
+    return labelled.join(placed, "group_id").select("text_id", "group_id", "split")
 
 
 def shares(assigned: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -132,8 +144,8 @@ def shares(assigned: DataFrame, weights: dict[str, float] | None = None) -> Data
     whole = sum(weights.values())
     target = assigned.sparkSession.createDataFrame([(s, w / whole) for s, w in weights.items()], "split string, target_share double")
     counts = assigned.groupBy("split").agg(F.count("*").alias("texts"), F.countDistinct("group_id").alias("groups"))
-    total = counts.agg(F.sum("texts").alias("total"))
-    return target.join(counts, "split", "left").join(F.broadcast(total)).select("split", "target_share", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("groups", F.lit(0)).alias("groups"), (F.coalesce("texts", F.lit(0)) / F.col("total")).alias("actual_share"))
+    n = F.coalesce("texts", F.lit(0))
+    return target.join(counts, "split", "left").select("split", "target_share", n.alias("texts"), F.coalesce("groups", F.lit(0)).alias("groups"), (n / F.sum("texts").over(Window.partitionBy())).alias("actual_share"))  # one row a split
 
 
 def contradictions(texts: DataFrame, families: DataFrame) -> DataFrame:

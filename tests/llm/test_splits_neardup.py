@@ -73,6 +73,20 @@ def test_assigned_splits(spark):
     assert splits.assign(texts.limit(0), families).count() == 0
 
 
+def test_weights_of_sizes():
+    rng = random.Random(9)
+    draws = lambda: {s: rng.random() for s in splits.WEIGHTS}
+    sizes = [(40_000, 1, draws()), (30_000, 1, draws()), (9_000, 1, draws()), (700, 5, draws()), (3, 4000, draws()), (1, 5500, draws())]
+    by_size = splits.size_weights(sizes, splits.WEIGHTS)
+    assert set(by_size[40_000]) == {"train"} and set(by_size[30_000]) == {"train"} and len(by_size[1]) >= 2
+    placed = dict.fromkeys(splits.WEIGHTS, 0)
+    for n, count, own in sizes:
+        for i in range(count):
+            placed[splits._chosen(by_size[n], own if count == 1 else draws())] += n
+    total = sum(placed.values())
+    assert abs(placed["train"] / total - 0.8) < 0.02 and abs(placed["test"] / total - 0.1) < 0.02
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_edit_distance(a, b):
