@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 
 def sha256(c: Column) -> Column:
@@ -36,15 +37,28 @@ def canonical_json(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def simhash64(shingles: Column) -> Column:
-    """64-bit SimHash (Charikar 2002) of an array of strings, every occurrence counted; null for an empty array."""
-    powers = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)]
+@pandas_udf(LongType())
+def _majority(hashes: pd.Series) -> pd.Series:
+    """The bits that most of the hashes of each array have."""
+    size = hashes.map(len).to_numpy()
+    there = np.flatnonzero(size)
+    if not len(there):
+        return pd.Series([None] * len(hashes), index=hashes.index, dtype="Int64")
+    flat = np.concatenate([hashes.iloc[i] for i in there]).astype(np.int64).view(np.uint64)
+    first = np.cumsum(size[there]) - size[there]
+    code = np.zeros(len(there), dtype=np.uint64)
+    for bit in range(64):
+        votes = np.add.reduceat(((flat >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), first)
+        code |= (2 * votes > size[there]).astype(np.uint64) << np.uint64(bit)
+    out = np.full(len(hashes), None, dtype=object)
+    out[there] = code.view(np.int64)
+    return pd.Series(out, index=hashes.index, dtype="Int64")
 
-    def fold(hashes: Column) -> Column:
-        votes = F.aggregate(hashes, F.array(*[F.lit(0)] * 64), lambda a, h: F.transform(a, lambda v, i: v + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
-        return F.aggregate(F.zip_with(votes, F.array(*powers), lambda v, p: F.when(v > 0, p).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
-    return F.when(F.size(shingles) > 0, F.element_at(F.transform(F.array(F.transform(shingles, lambda s: F.xxhash64(s))), fold), 1))
+def simhash64(shingles: Column) -> Column:
+    """64-bit SimHash (Charikar 2002) of an array of strings, every occurrence counted; null for an empty array. Shingles are
+    hashed in the JVM; the votes of a batch are counted bit by bit in numpy."""
+    return _majority(F.transform(F.coalesce(shingles, F.array().cast("array<string>")), lambda s: F.xxhash64(s)))
 
 
 def hamming(a: Column, b: Column) -> Column:

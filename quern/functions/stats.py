@@ -53,3 +53,8 @@ def softmax(values: Column, temperature: float = 1.0) -> Column:
 def noisy_or(strengths: Column) -> Column:
     """1 minus the product of what each strength leaves open; a strength counts as 0.999 at most."""
     return 1 - F.aggregate(strengths, F.lit(1.0), lambda a, s: a * (1 - F.least(s, F.lit(0.999))))
+
+
+def noisy_or_of(strength: Column) -> Column:
+    """noisy_or() as an aggregate: nothing is collected."""
+    return 1 - F.exp(F.sum(F.log1p(-F.least(strength, F.lit(0.999)))))

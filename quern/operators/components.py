@@ -1,5 +1,7 @@
 """Graphs as edge tables: components, closure, paths. Loops run over tables in the shared folder; the driver sees counts only."""
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components aren't stable")
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 64, undirected: bool = False) -> DataFrame:
-    """(node, depth): what can be reached from the start nodes over edges (u, v), each with its least depth; cycles end."""
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None, undirected: bool = False) -> DataFrame:
+    """(node, depth): what can be reached from the start nodes over edges (u, v), each with its least depth, up to a depth if one
+    is asked for; cycles end. A round for each depth, until one finds nothing new."""
     spark = edges.sparkSession
     step = edges.select("u", "v")
     if undirected:
         step = step.union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
     seen, path = spill(start.select("node", F.lit(0).alias("depth")).distinct(), "reached")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = seen.where(F.col("depth") == depth - 1).join(step, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         after, new_path = spill(seen.unionByName(new), "reached")
         drop_spill(spark, path)

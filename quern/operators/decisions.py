@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.topk import cosine
+from quern.operators.topk import similar
 
 
 def shrunk_ranking(runs: DataFrame, group: str, member: str, value: str, prior: float, weight: float = 5.0, least: int = 3, fine: str | None = None) -> DataFrame:
@@ -104,11 +104,12 @@ def budget_sample(rows: DataFrame, key: str, size: str, budget: int, row_id: str
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, space: str, vector: str, answer: str, least: float = 0.97) -> DataFrame:
     """(key, answer, similarity): the entry with the same key, else the most similar entry of the same space above a limit.
 
-    The join is on the space; adaptive execution splits a large one."""
+    Requests without an entry go against all entries in blocks; no pairs within a space are built, only those above the limit."""
     exact = requests.join(cache.select(F.col(key), F.col(answer)), key).select(key, answer, F.lit(1.0).alias("similarity"))
     rest = requests.join(exact.select(key), key, "left_anti")
-    near = rest.join(cache.select(space, F.col(key).alias("__k"), F.col(vector).alias("__v"), F.col(answer)), space).withColumn("similarity", cosine(F.col(vector), F.col("__v"))).where(F.col("similarity") >= least)
-    return exact.unionByName(near.groupBy(key).agg(F.max_by(answer, F.struct("similarity", "__k")).alias(answer), F.max("similarity").alias("similarity")))
+    near = similar(rest, cache, key, vector, least, space).join(cache.select(key, answer), key)
+    best = near.groupBy("query_id").agg(F.max_by(answer, F.struct("similarity", key)).alias(answer), F.max("similarity").alias("similarity"))
+    return exact.unionByName(best.withColumnRenamed("query_id", key))
 
 
 def _lcs(a: list[str], b: list[str]) -> list[str]:

@@ -8,8 +8,6 @@ from quern.functions.hashing import hash_bucket
 from quern.session import drop_spill, spill, spread
 
 BANDS, BAND_ROWS, NEAR = 14, 8, 0.8
-#: Hashes of evaluation n-grams up to which they are sent to every task; beyond, both sides are shuffled.
-BROADCAST_NGRAMS = 2_000_000
 
 
 def exact_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,9 +25,7 @@ def ngram_hashes(tokens: Column, n: int = 13) -> Column:
 def contaminated(docs: DataFrame, evaluation: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
     """(key) of documents that share a run of n words with an evaluation text (Brown et al. 2020)."""
     held = evaluation.select(F.explode(ngram_hashes(tx.word_tokens(F.col(text)), n)).alias("g")).distinct()
-    held, _ = spill(held, "ngrams")
-    if held.count() <= BROADCAST_NGRAMS:
-        held = F.broadcast(held)
+    held, _ = spill(held, "ngrams")  # its size is known from the files, so the join is planned by it
     grams = spread(docs.select(key, text)).select(key, F.explode(F.array_distinct(ngram_hashes(tx.word_tokens(F.col(text)), n))).alias("g"))
     return grams.join(held, "g", "left_semi").select(key).distinct()
 
@@ -39,14 +35,15 @@ def near_edges(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Equal signatures are one class; classes are compared, and members other than the first hang on it by one edge each."""
     signed, _ = spill(spread(docs.where(F.col(text).isNotNull()).select(key, text)).select(F.col(key).alias("id"), tx.minhash(F.col(text)).alias("sig")), "signatures")
-    classes = signed.groupBy("sig").agg(F.min("id").alias("id"))
+    signed = signed.withColumn("cls", F.struct(F.xxhash64("sig").alias("x"), F.xxhash64(F.lit(1), "sig").alias("y")))
+    classes = signed.groupBy("cls").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)))
     banded = classes.select("id", F.posexplode(bands).alias("band", "h"))
     met = banded.select("band", "h", F.col("id").alias("a")).join(banded.select("band", "h", F.col("id").alias("b")), ["band", "h"]).where("a < b").select("a", "b").distinct()
-    with_sigs = met.join(classes.toDF("sa", "a"), "a").join(classes.toDF("sb", "b"), "b")
+    with_sigs = met.join(classes.select(F.col("sig").alias("sa"), F.col("id").alias("a")), "a").join(classes.select(F.col("sig").alias("sb"), F.col("id").alias("b")), "b")
     agreement = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / float(BANDS * BAND_ROWS)
     between = with_sigs.select("a", "b", agreement.alias("agreement")).where(F.col("agreement") >= NEAR)
-    within = signed.join(classes.toDF("sig", "a"), "sig").where("a <> id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("agreement"))
+    within = signed.select("cls", "id").join(classes.select("cls", F.col("id").alias("a")), "cls").where("a <> id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("agreement"))
     return between.unionByName(within)
 
 

@@ -1,16 +1,34 @@
 """Joins that need a plan of their own: Hamming bands, intervals, as-of, pairing, dominance."""
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import hamming
+from quern.session import spill
+
+#: Blocks of a code in which a bucket's members agree.
+AGREEING = 3
+#: Points of a front that every task holds at once.
+FRONT_BLOCK = 50_000
+
 
+def _masks(distance: int, agreeing: int) -> list[int]:
+    """Bits of each choice of agreeing ones among distance + agreeing blocks: codes within the distance agree in one of them."""
+    blocks = distance + agreeing
+    edges = [i * 64 // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in itertools.combinations(range(blocks), agreeing)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-def _banded(classes: DataFrame, code: str, distance: int, side: str) -> DataFrame:
-    """Each class once for each block of its code: codes within the distance agree in at least one of distance + 1 blocks."""
-    blocks = distance + 1
-    width = -(-64 // blocks)
-    parts = F.array(*[F.shiftrightunsigned(F.col(code), i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)) for i in range(blocks)])
+
+def _banded(classes: DataFrame, code: str, distance: int, side: str, agreeing: int = AGREEING) -> DataFrame:
+    """Each class once for each mask, with the bits of its code under it: 32 of them at distance 3 and 21 at distance 6, so that
+    a bucket stays small where the codes are many."""
+    parts = F.array(*[F.col(code).bitwiseAND(F.lit(m)) for m in _masks(distance, agreeing)])
     banded = classes.select("*", F.posexplode(parts).alias("block", "bits"))
     return banded.select("block", "bits", *[F.col(c).alias(f"{c}_{side}") for c in classes.columns])
 
@@ -18,7 +36,7 @@ def _banded(classes: DataFrame, code: str, distance: int, side: str) -> DataFram
 def hamming_pairs(rows: DataFrame, key: str, code: str, distance: int, keep: list[str] | None = None, members: bool = False) -> DataFrame:
     """Pairs (a < b) of 64-bit codes within a Hamming distance.
 
-    Pigeonhole: codes cut into distance + 1 blocks agree in at least one. Equal codes are joined once as a class and come out
+    Pigeonhole: codes cut into distance + AGREEING blocks agree in at least AGREEING. Equal codes are joined once as a class and come out
     by their representative (smallest key), with the class size, so copies aren't multiplied. members: also a row
     (representative, member) at distance 0 for every other member of a class, so that each row's class can be told."""
     coded = rows.where(F.col(code).isNotNull())
@@ -71,18 +89,48 @@ def pair_kth(starts: DataFrame, ends: DataFrame, keys: list[str], ts: str, order
     return s.join(e, [*keys, "k"])
 
 
+def _dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points another one matches in all measures and beats in one."""
+    out = np.zeros(len(points), dtype=bool)
+    for i in range(0, len(points), 256):
+        part = points[i : i + 256, None, :]
+        out[i : i + 256] = ((by[None] >= part).all(axis=2) & (by[None] > part).any(axis=2)).any(axis=1)
+    return out
+
+
 def pareto(rows: DataFrame, key: str, maximise: list[str]) -> DataFrame:
-    """Rows that no other row matches in all and beats in one.
-
-    Each partition first drops what its own rows dominate, in two dimensions by a sort: of rows ordered by the first measure
-    descending, a row survives if its second exceeds the best seen ahead of it. Further measures are checked against the
-    survivors of the first two, which dominate whatever a dropped row would."""
-    x, y = maximise
-    groups = rows.groupBy(x).agg(F.max(y).alias("__top"))
-    salted = groups.withColumn("__part", F.pmod(F.hash(x), F.lit(64)))
-    local = salted.withColumn("__ahead", F.max("__top").over(Window.partitionBy("__part").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))).where("__ahead is null or __top > __ahead")
-    front = local.withColumn("__ahead", F.max("__top").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))).where("__ahead is null or __top > __ahead").select(x, F.col("__top").alias(y))
-    return rows.join(front, [x, y], "left_semi")
+    """Rows that no other row matches in all measures and beats in one; rows with a null measure are left out.
+
+    Each task first drops what its own points dominate; what is left is compared with all of what is left, FRONT_BLOCK points at
+    a time, so no task holds a front that grows with the data."""
+    kind = ", ".join(f"`{c}` double" for c in maximise)
+    points = rows.select(*[F.col(c).cast("double").alias(c) for c in maximise]).dropna().distinct()
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = np.zeros((0, len(maximise)))
+        for df in frames:
+            for i in range(0, len(df), 2000):
+                part = df.iloc[i : i + 2000].to_numpy()
+                part = part[~_dominated(part, part)]
+                part = part[~_dominated(part, front)]
+                if len(part):
+                    front = np.concatenate([front[~_dominated(front, part)], part])
+        yield pd.DataFrame(front, columns=maximise)
+
+    left, _ = spill(points.mapInPandas(local, kind).withColumn("__at", F.monotonically_increasing_id()), "front")
+    n = left.count()
+    blocks = max(1, -(-n // FRONT_BLOCK))
+    kept = left
+    for b in range(blocks):
+        held = np.array([list(r) for r in left.where(F.pmod(F.xxhash64("__at"), F.lit(blocks)) == b).select(*maximise).collect()]).reshape(-1, len(maximise))
+
+        def against(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for df in frames:
+                yield df[~_dominated(df[maximise].to_numpy(), held)]
+
+        kept = kept.mapInPandas(against, kind + ", __at bigint")
+    front = kept.select(*[F.col(c).alias(f"__{c}") for c in maximise])
+    return rows.join(front, [F.col(c).cast("double") == F.col(f"__{c}") for c in maximise], "left_semi")
 
 
 def compare_reports(before: DataFrame, after: DataFrame, key: str, passed: str) -> DataFrame:

@@ -53,11 +53,20 @@ def quota(rows: DataFrame, key: str, mix: dict[str, float], row_id: str, seed: s
 
 
 def synthetic_cap(rows: DataFrame, is_synthetic: Column, most: float, row_id: str, seed: str = "s") -> DataFrame:
-    """Synthetic rows up to a share of all rows that are left."""
-    real = rows.where(~is_synthetic).count()
-    cap = int(most / (1 - most) * real)
-    drawn = rows.where(is_synthetic).orderBy(F.sha2(F.concat(F.lit(seed), F.col(row_id).cast("string")), 256), row_id).limit(cap)
-    return rows.where(~is_synthetic).unionByName(drawn)
+    """Synthetic rows up to a share of all rows that are left, those with the least hashes. Counts by the first 16 bits of the
+    hash (65,536 at most) tell which rows stay; only those of the one head where the cap falls are ranked."""
+    h = F.sha2(F.concat(F.lit(seed), F.col(row_id).cast("string")), 256)
+    head = F.substring(h, 1, 4)
+    cap = int(most / (1 - most) * rows.where(~is_synthetic).count())
+    border, room = "g", 0  # behind all heads
+    for r in sorted(rows.where(is_synthetic).groupBy(head.alias("head")).count().collect()):
+        if r["count"] > cap:
+            border, room = r["head"], cap
+            break
+        cap -= r["count"]
+    drawn = rows.where(is_synthetic & (head < border))
+    last = rows.where(is_synthetic & (head == border)).withColumn("__rank", F.row_number().over(Window.partitionBy(head).orderBy(h, row_id))).where(F.col("__rank") <= room).drop("__rank")
+    return rows.where(~is_synthetic).unionByName(drawn).unionByName(last)
 
 
 def family_split(rows: DataFrame, family: Column, weights: dict[str, float], seed: str) -> DataFrame:
@@ -75,13 +84,16 @@ def leakage(rows: DataFrame, content: str, split: str) -> DataFrame:
     return rows.groupBy(content).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(split)).alias("splits")).where("size(splits) > 1")
 
 
-def snapshot_hash(rows: DataFrame, key: str, status: str, buckets: int = 256) -> DataFrame:
-    """One hash of the sorted (key, status) pairs. Pairs are hashed, sorted and hashed again within buckets of the key, and the
-    bucket hashes once more, so that no task holds them all."""
+def snapshot_hash(rows: DataFrame, key: str, status: str) -> DataFrame:
+    """(rows, hash): one hash of the sorted hashes of (key, status). They are joined and hashed by their first four digits, those
+    hashes by the first two, and these once more, so that a task holds a 65,536th of them."""
     line = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.coalesce(F.col(status).cast("string"), F.lit(""))), 256)
-    parts = rows.select(F.pmod(F.conv(F.substring(line, 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).alias("b"), line.alias("h"))
-    inner = parts.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("hash"), F.sum("n").alias("rows"))
+    level = rows.select(line.alias("h"), F.substring(line, 1, 4).alias("b"), F.lit(1).alias("n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256)
+    for digits in (4, 2, 0):
+        order = F.col("h") if digits == 4 else F.col("b")
+        level = level.withColumn("o", order).groupBy(F.substring("b", 1, digits).alias("b")).agg(joined.alias("h"), F.sum("n").alias("n"))
+    return level.select(F.col("n").alias("rows"), F.col("h").alias("hash"))
 
 
 def round_robin(rows: DataFrame, key: str, row_id: str, budget: int, seed: str = "s") -> DataFrame:

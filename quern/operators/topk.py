@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one block holds; a block of vectors is what a task keeps in memory beside one batch of rows.
-BLOCK = 4096
+#: Queries of one multiplication, and queries that a task holds at once.
+BLOCK, HELD = 4096, 65_536
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -18,42 +18,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, key, similarity, rank): the k most similar other rows of each query, ties by key.
+def _against(queries: DataFrame, rows: DataFrame, key: str, vector: str, select, space: str | None = None, block: int = HELD) -> DataFrame:
+    """(query_id, id, similarity) of what select(scores of a block of queries and a batch of rows) picks.
 
-    Queries are numbered into blocks by hash; each batch of rows is read once per block and multiplied with the block's matrix,
-    keeping k per query and batch, so what is shuffled is k rows per query and batch, not all pairs. A vector of another length
-    than the query's is no candidate; null vectors are left out."""
+    Tasks hold block query vectors at once (a bounded broadcast) and multiply each batch of rows with BLOCK of them at a time, so
+    the rows are read once for block queries, and what is shuffled is what was picked. A vector of another length than the
+    query's is no candidate; null vectors are left out. space: a column in which both have to be equal."""
     spark = rows.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    numbered = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    grouped = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))  # block vectors each
-    slim = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    kind = rows.schema[key].dataType.simpleString()
+    named = lambda df, name: df.where(F.col(vector).isNotNull()).select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("v"), (F.col(space).cast("string") if space else F.lit("")).alias("space"))
+    asked = named(queries, "query_id")
+    passes = max(1, -(-asked.count() // block))
+    kind, query_kind = (df.schema[key].dataType.simpleString() for df in (rows, queries))
     out = None
-    for q in ([r["block"] for r in grouped.select("block").orderBy("block").collect()]):  # one pass over the rows per block
-        held = grouped.where(F.col("block") == q).head()["qs"]
-        ids, matrix = [x["query_id"] for x in held], _unit(np.array([x["q"] for x in held], dtype=np.float64))
-        shared = spark.sparkContext.broadcast((ids, matrix))  # bounded: block vectors
+    for p in range(passes):
+        held = (asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)).collect()
+        by_length: dict[int, list] = {}
+        for r in held:
+            by_length.setdefault(len(r["v"]), []).append(r)
+        shared = spark.sparkContext.broadcast({n: ([r["query_id"] for r in rs], np.array([r["space"] for r in rs], dtype=object), _unit(np.array([r["v"] for r in rs], dtype=np.float64).reshape(len(rs), n))) for n, rs in by_length.items()})
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
             for df in frames:
-                df = df[df["v"].map(len) == matrix.shape[1]]
-                if not len(df):
-                    continue
-                own = df["id"].to_numpy()
-                scores = matrix @ _unit(np.stack(df["v"].to_numpy())).T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1] if len(df) > k + 1 else np.tile(np.arange(len(df)), (len(ids), 1))
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": own[best.ravel()], "similarity": np.take_along_axis(scores, best, 1).ravel()})
-
-        part = slim.mapInPandas(run, f"query_id {kind}, id {kind}, similarity double")
+                for n, own in df.groupby(df["v"].map(len)):
+                    if n not in shared.value:
+                        continue
+                    ids, spaces, matrix = shared.value[n]
+                    vectors, names, there = _unit(np.stack(own["v"].to_numpy()).reshape(len(own), n)), own["id"].to_numpy(), own["space"].to_numpy()
+                    for i in range(0, len(ids), BLOCK):
+                        scores = matrix[i : i + BLOCK] @ vectors.T
+                        if space:
+                            scores = np.where(spaces[i : i + BLOCK, None] == there[None], scores, -np.inf)
+                        q, r = select(scores)
+                        keep = np.isfinite(scores[q, r])
+                        q, r = q[keep], r[keep]
+                        yield pd.DataFrame({"query_id": [ids[i + x] for x in q], "id": names[r], "similarity": scores[q, r]})
+
+        part = named(rows, "id").mapInPandas(run, f"query_id {query_kind}, id {kind}, similarity double")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kind}, `{key}` {kind}, similarity double, rank int")
+    return out
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = HELD) -> DataFrame:
+    """(query_id, key, similarity, rank): the k most similar other rows of each query, ties by key. k + 1 rows of each query and
+    batch are shuffled, and more only where they tie with the last of these."""
+
+    def best(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if scores.shape[1] <= k + 1:
+            return np.nonzero(np.ones(scores.shape, dtype=bool))
+        return np.nonzero(scores >= np.partition(scores, -(k + 1), axis=1)[:, -(k + 1), None])
+
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    ranked = out.where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = _against(queries, rows, key, vector, best, block=block).where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("id").alias(key), "similarity", "rank")
 
 
@@ -62,13 +77,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """(query_id, key, similarity) of all rows with at least a cosine to a query, the query's own row too.
-
-    Vectors of another length than the query's are no candidates; null vectors are left out."""
-    pick = lambda df, name, v: df.where(F.col(vector).isNotNull()).select(F.col(key).alias(name), F.col(vector).alias(v))
-    both = pick(rows, key, "__v").crossJoin(pick(queries, "query_id", "__q"))
-    return both.select("query_id", key, cosine(F.col("__v"), F.col("__q")).alias("similarity")).where(F.col("similarity") >= least)
+def similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float, space: str | None = None) -> DataFrame:
+    """(query_id, key, similarity) of all rows with at least a cosine to a query, the query's own row too, in the same space if a
+    column of spaces is named."""
+    found = _against(queries, rows, key, vector, lambda scores: np.nonzero(scores >= least), space)
+    return found.select("query_id", F.col("id").alias(key), "similarity")
 
 
 def rerank(candidates: DataFrame, weights: dict[str, float], recency_days: Column, least: float, k: int, query: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def a32_smoothed(s, d):
 
 def a22_noisy_or(s, d):
     e = _runs(s, d).where("verifier_score is not null").groupBy("task_type", "model_id").agg(F.max("verifier_score").alias("s"))
-    return _r(e.groupBy("task_type").agg(stats.noisy_or(F.sort_array(F.collect_list("s"))).alias("belief")), "belief")
+    return _r(e.groupBy("task_type").agg(stats.noisy_or_of(F.col("s")).alias("belief")), "belief")
 
 
 def a20_eval_summary(s, d):

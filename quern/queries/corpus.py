@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import stats
 from quern.functions import text as tx
-from quern.functions.hashing import canonical_json, hamming, hash_bucket, sha256, simhash64
+from quern.functions.hashing import canonical_json, hash_bucket, sha256, simhash64
 from quern.operators import components as graph
 from quern.operators import dedup, joins, records
 from quern.session import spill, spread
@@ -91,7 +91,7 @@ def u6_closure(s, d):
 
 
 def u8_paths(s, d):
-    return graph.reachable(_ring(s, d), s.createDataFrame([(1,)], "node bigint"), undirected=True, max_depth=64)
+    return graph.reachable(_ring(s, d), s.createDataFrame([(1,)], "node bigint"), undirected=True)
 
 
 def j9_neighbours(s, d):
@@ -106,9 +106,7 @@ def _whole_ring(s, d):
 
 
 def u8_paths_all(s, d):
-    edges = _whole_ring(s, d)
-    most = edges.count() + 1  # no shortest path is longer
-    return graph.reachable(edges, s.createDataFrame([(1,)], "node bigint"), undirected=True, max_depth=most)
+    return graph.reachable(_whole_ring(s, d), s.createDataFrame([(1,)], "node bigint"), undirected=True)
 
 
 def j9_neighbours_all(s, d):
@@ -169,20 +167,11 @@ def t29_jaccard(s, d):
     return x.join(y, "doc_id").select("doc_id", F.round(tx.jaccard_tokens(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
-def hash_bits(s, d):
-    t = table(s, d, "texts").where("text is not null").select("text_id", F.xxhash64("text").alias("h"))
-    return t.select("text_id", hamming(F.col("h"), F.col("h")).alias("self"))
-
-
 def licences(s, d):
     x = _docs(s, d).where("license is not null").select(F.explode(records.licence_ids(F.col("license"))).alias("licence"))
     return x.groupBy("licence").agg(F.count("*").alias("n"))
 
 
-def _trained(s, d):
-    return table(s, d, "texts").where("text is not null")
-
-
 QUERIES = {
     "t1_exact_duplicates": lambda s, d: dedup.exact_groups(_docs(s, d), "doc_id", "text"),
     "t2_normalize": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", F.length(tx.normalize_corpus("text")).alias("n")),
@@ -203,7 +192,7 @@ QUERIES = {
     "c1_funnel": c1_funnel,
     "c2_greedy_near_duplicates": c2_greedy,
     "c8_impact": c8_impact,
-    "c9_snapshot_hash": lambda s, d: records.snapshot_hash(table(s, d, "tasks"), "id", "status").select("rows", F.length("hash").alias("hex")),
+    "c9_snapshot_hash": lambda s, d: records.snapshot_hash(table(s, d, "tasks"), "id", "status"),
     "c10_synthetic_cap": lambda s, d: records.synthetic_cap(_docs(s, d), F.coalesce(F.col("source") == "Trace digests", F.lit(False)), 0.02, "doc_id").groupBy(F.coalesce(F.col("source") == "Trace digests", F.lit(False)).alias("synthetic")).agg(F.count("*").alias("n")),
     "c11_quota": lambda s, d: records.quota(_docs(s, d), "lang", {"es": 0.5, "en": 0.3, "de": 0.2}, "doc_id").select("lang", "doc_id"),
     "c12_family_split": lambda s, d: records.family_split(table(s, d, "families").where("hash is not null"), F.col("hash"), {"train": 0.8, "validation": 0.1, "test": 0.1}, "seed").groupBy("split").agg(F.count("*").alias("n")),
@@ -239,7 +228,7 @@ SQL = {
     "t22_buckets": "select case when complexity < 0.34 then 'easy' when complexity < 0.67 then 'medium' else 'hard' end as difficulty, case when complexity < 0.3 then 'low' when complexity < 0.6 then 'medium' when complexity < 0.8 then 'high' else 'extreme' end as complexity, count(*) as n from inference_runs where complexity is not null group by 1, 2",
     "j2_anti_join": "select task_type, count(*) as n from inference_runs where task_id is not null and task_id not in (select id from tasks where deleted_at is not null) group by 1",
     "c8_impact": f"with recursive {_TREE}, r(node) as (select v from edges where u = 7 union select e.v from r join edges e on e.u = r.node), dep as (select node, floor(log2(node / 7.0 + 1e-9))::int as depth from r) select case when node::varchar like '2%' then 'two' when node::varchar like '1%' then 'one' else 'record' end as kind, count(*) as n, max(floor(log2(node + 0.5)) - floor(log2(7.5)))::int as depth from dep group by 1",
-    "c9_snapshot_hash": "select count(*) as rows, 64 as hex from tasks",
+    "c9_snapshot_hash": "with l as (select sha256(concat_ws('|', id, coalesce(status, ''))) as h from tasks), a as (select substr(h, 1, 4) as b, sha256(string_agg(h, '' order by h)) as h, count(*) as n from l group by 1), c as (select substr(b, 1, 2) as b, sha256(string_agg(h, '' order by b)) as h, sum(n) as n from a group by 1) select sum(n)::bigint as rows, sha256(string_agg(h, '' order by b)) as hash from c",
     "c11_quota": "with c as (select lang, count(*) as c from documents where lang in ('es', 'en', 'de') group by 1), m(lang, w) as (values ('es', 0.5::double), ('en', 0.3::double), ('de', 0.2::double)), n as (select min(floor(c / w)) as n from c join m using (lang)), r as (select lang, doc_id, row_number() over (partition by lang order by sha256('s' || doc_id::varchar), doc_id) as rank from documents where lang in ('es', 'en', 'de')) select lang, doc_id from r join m using (lang), n where rank <= greatest(1, round_even(n * w, 0))",
     "c12_family_split": "with h as (select ('0x' || substr(sha256('seed:' || hash), 1, 8))::ubigint / 4294967296.0 as h from families where hash is not null) select case when h < 0.8 then 'train' when h < 0.9 then 'validation' else 'test' end as split, count(*) as n from h group by 1",
     "c21_round_robin": "with r as (select doc_id, source, row_number() over (partition by source order by sha256('s' || doc_id::varchar), doc_id) as rank from documents where source is not null) select doc_id, source from r order by rank, source limit 100",

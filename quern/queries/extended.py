@@ -34,8 +34,9 @@ def t9_language_evidence(s, d):
 
 def t10_oov(s, d):
     words = _docs(s, d).select("doc_id", F.explode(tx.word_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^\p{L}{2,}$"))
-    lexicon = words.groupBy("w").agg(F.countDistinct("doc_id").alias("docs")).where("docs >= 3").select("w", F.lit(1).alias("known"))
-    return words.join(lexicon, "w", "left").groupBy("doc_id").agg(F.round(F.avg(F.when(F.col("known").isNull(), 1.0).otherwise(0.0)), 6).alias("oov"))
+    counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))  # a hot word is one row a document
+    rare = counted.groupBy("w").agg(F.count("*").alias("docs")).where("docs < 3").select("w", F.lit(1).alias("rare"))  # what is joined has no hot word
+    return counted.join(rare, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("rare") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("oov"))
 
 
 def t16_code(s, d):

@@ -1,7 +1,5 @@
 """Readers and writers of corpus files."""
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +10,12 @@ def jsonl_complete(spark: SparkSession, path: str, schema: str, final: bool = Fa
     """Complete lines of JSONL files that may still grow: what follows the last line end is left out, unless the file is final
     and the rest is valid JSON. Lines that aren't JSON come out as nulls of the schema.
 
-    Whether the last line ended is seen from the last byte of each file, not by reading the file twice."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__at"))
-    tails = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), (F.substring(F.col("content"), -1, 1) != F.lit(bytearray(b"\n"))).alias("torn"))
-    ends = lines.groupBy("file").agg(F.max("__at").alias("last"))
-    marked = lines.join(ends, "file").join(tails.select(F.regexp_replace("file", "^file:/+", "/").alias("f"), "torn"), F.regexp_replace(lines["file"], "^file:/+", "/") == F.col("f"), "left")
-    torn = F.coalesce("torn", F.lit(False)) & (F.col("__at") == F.col("last"))
+    Whether the last line ended is told by the file's size against the bytes of its lines; no file is loaded as a whole."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("__at"))
+    ends = lines.groupBy("file").agg(F.max("__at").alias("last"), (F.sum(F.octet_length("value") + 1) > F.max("bytes")).alias("torn"))
+    torn = F.col("torn") & (F.col("__at") == F.col("last"))
     keep = ~torn | (F.try_parse_json("value").isNotNull() if final else F.lit(False))
-    return marked.where(keep & (F.trim("value") != "")).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return lines.join(ends, "file").where(keep & (F.trim("value") != "")).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def parquet_projection(spark: SparkSession, paths: list[str], columns: list[str], fallback_id: str = "id") -> DataFrame:
@@ -104,7 +100,3 @@ def prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.where((F.col("metric") != "") & F.col("x").isNotNull() & ~F.isnan("x")).groupBy("metric").agg(F.sum("x").alias("total"))
 
 
-def json_schema_of(sample: dict) -> str:
-    """DDL of a flat sample record."""
-    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
-    return ", ".join(f"`{k}` {kinds.get(type(v), 'string')}" for k, v in json.loads(json.dumps(sample)).items())

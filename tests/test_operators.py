@@ -319,3 +319,98 @@ def test_queries_see_whole_tables(spark, tmp_path):
     ranked = {q: sorted((-(0.55 * cos(v, vectors[q]) + 0.015 * (i % 5) + 0.1 / (1 + i % 90 / 30)), i) for i, v in enumerate(vectors) if cos(v, vectors[q]) >= 0.15)[:10] for q in asked}
     assert {(r["query_id"], r["vec_id"]) for r in run("k2_rerank")} == {(q, i) for q in asked for _, i in ranked[q]}
     assert {(r["key"], r["answer"]) for r in run("c29_cache_lookup_all")} == {(f"q{q}", f"a{q}") for q in asked}
+
+
+def test_pareto_of_three_measures(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(12), rng.randrange(12), rng.randrange(12)) for i in range(400)] + [(900, None, 50, 50)]
+    df = spark.createDataFrame(rows, "k long, x long, y long, z long")
+    full = [r for r in rows if None not in r]
+    want = {r[0] for r in full if not any(all(b >= a for a, b in zip(r[1:], s[1:])) and s[1:] != r[1:] for s in full)}
+    assert {r["k"] for r in joins.pareto(df, "k", ["x", "y", "z"]).collect()} == want
+    assert joins.pareto(df.limit(0), "k", ["x", "y", "z"]).count() == 0
+
+
+@pytest.mark.parametrize("distance", [1, 3, 6])
+def test_hamming_pairs_against_all_pairs(spark, distance):
+    rng = random.Random(distance)
+    codes = []
+    for _ in range(60):
+        c = rng.getrandbits(64)
+        codes += [c]
+        for _ in range(rng.randrange(3)):
+            for bit in rng.sample(range(64), rng.randrange(distance + 3)):
+                c ^= 1 << bit
+            codes.append(c)
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    df = spark.createDataFrame(list(enumerate(signed)), "k long, c long")
+    rep = {}
+    for i, c in enumerate(codes):
+        rep.setdefault(c, i)
+    want = {(min(i, j), max(i, j)) for a, i in rep.items() for b, j in rep.items() if i != j and (a ^ b).bit_count() <= distance}
+    assert {(r["a"], r["b"]) for r in joins.hamming_pairs(df, "k", "c", distance).collect()} == want
+
+
+def test_simhash_takes_the_majority(spark):
+    import pandas as pd
+
+    from quern.functions.hashing import _majority
+
+    rng = random.Random(4)
+    arrays = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 8, 9)]
+    got = _majority.func(pd.Series([*arrays, []]))
+    for own, code in zip(arrays, got):
+        want = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in own) > len(own))
+        assert int(code) % (1 << 64) == want
+    assert got.isna().tolist() == [False] * 5 + [True]
+
+
+def test_synthetic_cap_takes_the_least_hashes(spark):
+    import hashlib
+
+    rows = [(i, "b" if i % 3 else "a") for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g string")
+    cap = int(0.2 / 0.8 * 1000)
+    order = sorted((i for i, g in rows if g == "b"), key=lambda i: (hashlib.sha256(f"s{i}".encode()).hexdigest(), i))
+    got = {r["i"] for r in records.synthetic_cap(df, F.col("g") == "b", 0.2, "i").where("g = 'b'").collect()}
+    assert got == set(order[:cap])
+
+
+def test_long_chain_is_reached_to_its_end(spark):
+    from quern.operators import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(130)], "u long, v long")
+    assert components.reachable(edges, spark.createDataFrame([(0,)], "node long")).agg({"depth": "max"}).head()[0] == 130
+
+
+def test_signatures_agree_as_the_sets_do(spark):
+    rng = random.Random(6)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    v = w[:300] + [f"x{i}" for i in range(100)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v)), (3, "a b"), (4, None), (5, " ".join(w).upper())], "k long, t string")
+    sig = {r["k"]: r["s"] for r in df.select("k", tx.minhash("t").alias("s")).collect()}
+    exact = 296 / (396 * 2 - 296)
+    assert all(len(s) == 112 for s in sig.values()) and sig[1] == sig[5]
+    assert abs(sum(a == b for a, b in zip(sig[1], sig[2])) / 112 - exact) < 0.15
+
+
+def test_long_headers_are_furniture():
+    from quern.functions import documents as d
+
+    header = "Official journal of the northern basin and of the rural districts around it, volume seventeen of the second series"
+    text = "\n".join(f"{header}\nParagraph {i} says something of its own.\n{i}" for i in range(12))
+    out = d.repair_scan(text)
+    assert header not in out and out.count("Paragraph") == 12
+
+
+def test_lcs_against_the_table():
+    from quern.functions import documents as d
+
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = (rng.choices("abc", k=rng.randrange(12)) for _ in range(2))
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                row[i][j] = row[i - 1][j - 1] + 1 if x == y else max(row[i - 1][j], row[i][j - 1])
+        assert d.lcs(a, b) == row[-1][-1]
