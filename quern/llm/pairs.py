@@ -62,13 +62,15 @@ REFUSALS = re.compile(
 )
 #: Courtesies that come with a refusal and answer nothing.
 COURTESY = re.compile(
-    r"(?i)\b(?:sorry|apolog|thank you|thanks|happy to|glad to|instead|other topic|something else|anything else|please (?:ask|contact|consult)|specialist|professional|regret|unfortunately"
-    r"|lo siento|lamento|disculp|perdón|gracias|si quieres|si lo deseas|otro tema|otra cosa|consulta a|especialista|permiso"
-    r"|désolé|pardon|merci|si tu veux|si vous|autre chose|autre sujet|spécialiste|regrette"
-    r"|tut mir leid|entschuldig|danke|gern|gerne|anderen thema|anderes thema|fachkraft|spezialist|verständnis|bedauere"
-    r"|desculp|obrigad|se quiseres|se quiser|outro tema|outra coisa|sinto muito"
-    r"|mi dispiace|spiacente|grazie|se vuoi|altro argomento|altro tema|specialista|scusa"
+    r"(?i)\b(?:sorry|thank you|thanks|happy to|glad to|instead|other topic|something else|anything else|please (?:ask|contact|consult)|specialist|professional|unfortunately"
+    r"|lo siento|perdón|gracias|si quieres|si lo deseas|otro tema|otra cosa|consulta a|especialista|permiso"
+    r"|désolé|pardon|merci|si tu veux|si vous|autre chose|autre sujet|spécialiste"
+    r"|tut mir leid|danke|gern|gerne|anderen thema|anderes thema|fachkraft|spezialist|verständnis"
+    r"|se quiseres|se quiser|outro tema|outra coisa|sinto muito"
+    r"|mi dispiace|grazie|se vuoi|altro argomento|altro tema|specialista|scusa"
     r"|ho sento|em sap greu|gràcies|si vols|altre tema|especialista)\b"
+    # beginnings of words
+    r"|\b(?:apolog|regret|inconvenien|disculp|lament|molesti|regrett|excus|désagrément|entschuldig|bedauer|unannehmlich|umstände|desculp|obrigad|lamento|incómod|incomod|spiacent|scus|disag|molèsti|discolp)\w*"
 )
 
 _NUMBER = {

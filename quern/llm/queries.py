@@ -54,6 +54,10 @@ def p5_report(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "texts"))
 
 
+def p5_classes(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "texts"))
+
+
 def p6_ids(spark, sf_dir):
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 

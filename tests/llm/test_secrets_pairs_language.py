@@ -233,6 +233,18 @@ def test_script_mismatch(answer, question, defect):
     assert pairs.script_differs(question, answer) == defect
 
 
+@pytest.mark.parametrize("answer", [
+    "Esta solicitud queda fuera de lo que puedo atender. Disculpa las molestias.",
+    "I can't help with that. I apologise for the inconvenience.",
+    "Das darf ich nicht beantworten. Entschuldigung für die Unannehmlichkeiten.",
+    "Je ne peux pas répondre à cela. Je regrette ce désagrément.",
+    "Não posso ajudar com isso. Desculpe o incómodo.",
+    "Non posso rispondere a questo. Mi scuso per il disagio.",
+])
+def test_refusals_with_courtesies(answer):
+    assert pairs.is_refusal(answer) and not pairs.is_refusal(answer + " " + EN)
+
+
 def test_bounds_of_rules():
     many = "There are 60 rules:\n" + "\n".join(f"- rule {i}." for i in range(59))
     assert pairs.truncation(many, set())[0] and not pairs.truncation(many + "\n- rule 59.", set())[0]
