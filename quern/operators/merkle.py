@@ -1,8 +1,10 @@
 """Merkle roots of ordered hashes: each level is one grouped join of neighbours, so no stream is held by one task."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import spill
+
 
 def merkle_root(leaves: DataFrame, stream: str, pos: str, leaf: str) -> DataFrame:
     """(stream, root): SHA-256 over the concatenated hashes of neighbours; the last of an odd level is doubled.
@@ -16,3 +18,35 @@ def merkle_root(leaves: DataFrame, stream: str, pos: str, leaf: str) -> DataFram
         level = pairs.select(stream, F.col("parent").alias("pos"), F.when(F.col("most") == 0, F.col("left")).otherwise(F.sha2(F.concat("left", "right"), 256)).alias("h"), F.floor(F.col("most") / 2).alias("most"))
         longest //= 2
     return level.select(stream, F.col("h").alias("root"))
+
+
+def merkle_levels(leaves: DataFrame, stream: str, pos: str, leaf: str) -> DataFrame:
+    """(stream, level, pos, h): all nodes of the trees, the leaves at level 0; written level by level."""
+    level, _ = spill(leaves.select(stream, F.lit(0).alias("level"), F.col(pos).cast("bigint").alias("pos"), F.col(leaf).alias("h")), "merkle")
+    out, n = level, 0
+    while not level.where("pos > 0").isEmpty():
+        parents = level.groupBy(stream, F.floor(F.col("pos") / 2).alias("pos")).agg(F.min_by("h", "pos").alias("a"), F.max_by("h", "pos").alias("b"))
+        tops = level.groupBy(stream).agg(F.max("pos").alias("most")).where("most > 0").select(stream)  # a finished tree has no more levels
+        n += 1
+        level, _ = spill(parents.join(tops, stream).select(stream, F.lit(n).alias("level"), "pos", F.sha2(F.concat("a", "b"), 256).alias("h")), "merkle")
+        out = out.unionByName(level)
+    return out
+
+
+def merkle_proofs(levels: DataFrame, stream: str) -> DataFrame:
+    """(stream, pos, leaf, proof): for each leaf its neighbours on the way to the root, with the side on which they stand. The
+    last of an odd level is its own neighbour."""
+    height = levels.groupBy(stream).agg(F.max("level").alias("height"))
+    ends = levels.groupBy(stream, "level").agg(F.max("pos").alias("end"))
+    leaves = levels.where("level = 0").select(stream, F.col("pos").alias("leaf_pos"), F.col("h").alias("leaf"))
+    way = leaves.join(height, stream).select(stream, "leaf_pos", "leaf", F.explode_outer(F.when(F.col("height") > 0, F.sequence(F.lit(0), F.col("height") - 1))).alias("level"))
+    at = way.withColumn("p", F.floor(F.col("leaf_pos") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint"))
+    beside = at.join(ends, [stream, "level"], "left").withColumn("pos", F.least(F.col("p").bitwiseXOR(F.lit(1)), F.col("end")))
+    met = beside.join(levels, [stream, "level", "pos"], "left")
+    step = F.when(F.col("level").isNotNull(), F.struct("level", "h", (F.col("p") % 2 == 1).alias("left")))
+    return met.groupBy(stream, F.col("leaf_pos").alias("pos"), "leaf").agg(F.array_sort(F.collect_list(step)).alias("proof"))
+
+
+def proven(leaf: Column, proof: Column) -> Column:
+    """The root to which a proof leads from a leaf."""
+    return F.aggregate(proof, leaf, lambda h, s: F.when(s["left"], F.sha2(F.concat(s["h"], h), 256)).otherwise(F.sha2(F.concat(h, s["h"]), 256)))

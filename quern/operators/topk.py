@@ -58,8 +58,9 @@ def _against(queries: DataFrame, rows: DataFrame, key: str, vector: str, select,
     return out
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = HELD) -> DataFrame:
-    """(query_id, key, similarity, rank): the k most similar other rows of each query, ties by key. k + 1 rows of each query and
+def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = HELD, space: str | None = None) -> DataFrame:
+    """(query_id, key, similarity, rank): the k most similar other rows of each query, of the same space if a column is named;
+    ties by key. k + 1 rows of each query and
     batch are shuffled, and more only where they tie with the last of these."""
 
     def best(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
         return np.nonzero(scores >= np.partition(scores, -(k + 1), axis=1)[:, -(k + 1), None])
 
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    ranked = _against(queries, rows, key, vector, best, block=block).where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = _against(queries, rows, key, vector, best, space, block).where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("id").alias(key), "similarity", "rank")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import stats
 from quern.functions import text as tx
-from quern.functions.hashing import canonical_json, hash_bucket, sha256, simhash64
+from quern.functions.hashing import canonical_json, hash_bucket, sha256, simhash_of_text
 from quern.operators import components as graph
 from quern.operators import dedup, joins, records
 from quern.session import spill, spread
@@ -50,15 +50,8 @@ def j4_contaminated(s, d):
     return dedup.contaminated(docs.where("source is null or source not in ('Router evaluations', 'Seed prompts')"), held, "doc_id", "text")
 
 
-def text_code(text):
-    """SimHash of runs of three words; of a shorter text the hash of its words, or of its signs if it has none."""
-    w = tx.word_tokens(text)
-    short = F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(tx.normalize_text(text))
-    return F.coalesce(simhash64(tx.ngrams(w, 3)), F.xxhash64(short))
-
-
 def j5_simhash(s, d):
-    t, _ = spill(spread(table(s, d, "texts").where("text is not null").select("text_id", "text")).select("text_id", text_code(F.col("text")).alias("code")), "codes")
+    t, _ = spill(spread(table(s, d, "texts").where("text is not null").select("text_id", "text")).select("text_id", simhash_of_text("text").alias("code")), "codes")
     return joins.hamming_pairs(t, "text_id", "code", 3, members=True)
 
 
@@ -183,7 +176,7 @@ QUERIES = {
     "t13_top_ngram": t13_top_ngram,
     "t14_dup_ngram": t14_dup_ngram,
     "t15_quality_reasons": quality_reasons,
-    "t20_tiers": lambda s, d: table(s, d, "cognitive_traces").where("verifier_score is not null").groupBy(stats.tier(F.col("verifier_score"), ~F.coalesce("contaminated", F.lit(True))).alias("tier")).agg(F.count("*").alias("n")),
+    "t21_tiers": lambda s, d: table(s, d, "cognitive_traces").where("verifier_score is not null").groupBy(stats.tier(F.col("verifier_score"), ~F.coalesce("contaminated", F.lit(True))).alias("tier")).agg(F.count("*").alias("n")),
     "t22_buckets": lambda s, d: table(s, d, "inference_runs").where("complexity is not null").groupBy(stats.difficulty_bucket(F.col("complexity")).alias("difficulty"), stats.complexity_bucket(F.col("complexity")).alias("complexity")).agg(F.count("*").alias("n")),
     "t29_token_jaccard": t29_jaccard,
     "j2_anti_join": j2_without,
@@ -224,7 +217,7 @@ SQL = {
     "t1_exact_duplicates": r"with h as (select doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as t from documents where text is not null) select doc_id, min(doc_id) over (partition by t) as first, count(*) over (partition by t) as copies from h",
     "t8_word_counts": f"select doc_id, len({_WORDS})::int as n from documents",
     "t12_line_repetition": f"with l as (select doc_id, {_LINES} as ls from documents), x as (select doc_id, unnest(ls) as line from l), g as (select doc_id, line, count(*) as c from x group by all), a as (select doc_id, sum(c) filter (where c > 1) as dup, sum(c * length(line)) filter (where c > 1) as chars from g group by 1) select l.doc_id, len(ls)::int as lines, coalesce(dup, 0)::int as dup, coalesce(chars, 0)::int as dup_chars from l left join a using (doc_id)",
-    "t20_tiers": "select case when verifier_score > 0.92 and not coalesce(contaminated, true) then 'gold' when verifier_score >= 0.8 then 'silver' when verifier_score >= 0.6 then 'bronze' else 'raw' end as tier, count(*) as n from cognitive_traces where verifier_score is not null group by 1",
+    "t21_tiers": "select case when verifier_score > 0.92 and not coalesce(contaminated, true) then 'gold' when verifier_score >= 0.8 then 'silver' when verifier_score >= 0.6 then 'bronze' else 'raw' end as tier, count(*) as n from cognitive_traces where verifier_score is not null group by 1",
     "t22_buckets": "select case when complexity < 0.34 then 'easy' when complexity < 0.67 then 'medium' else 'hard' end as difficulty, case when complexity < 0.3 then 'low' when complexity < 0.6 then 'medium' when complexity < 0.8 then 'high' else 'extreme' end as complexity, count(*) as n from inference_runs where complexity is not null group by 1, 2",
     "j2_anti_join": "select task_type, count(*) as n from inference_runs where task_id is not null and task_id not in (select id from tasks where deleted_at is not null) group by 1",
     "c8_impact": f"with recursive {_TREE}, r(node) as (select v from edges where u = 7 union select e.v from r join edges e on e.u = r.node), dep as (select node, floor(log2(node / 7.0 + 1e-9))::int as depth from r) select case when node::varchar like '2%' then 'two' when node::varchar like '1%' then 'one' else 'record' end as kind, count(*) as n, max(floor(log2(node + 0.5)) - floor(log2(7.5)))::int as depth from dep group by 1",

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import documents as df_
 from quern.functions import text as tx
+from quern.functions.hashing import simhash_of_text
 from quern.operators import decisions as dec
 from quern.operators import joins, records
 from quern.operators.topk import cosine, rerank, similar
-from quern.queries.corpus import text_code
 from quern.session import spill, spread
 from quern.sources import files
 from quern.sources.tables import table
@@ -132,7 +132,7 @@ def c31_support(s, d):
 
 def c4_simhash_guard(s, d):
     t = spread(table(s, d, "texts").where("text is not null").select("text_id", "split", "text"))
-    coded = t.select("text_id", F.lower(F.trim("split")).alias("split"), (F.length(tx.normalize_text(F.col("text"))) >= 12).alias("long"), text_code(F.col("text")).alias("code"))
+    coded = t.select("text_id", F.lower(F.trim("split")).alias("split"), (F.length(tx.normalize_text(F.col("text"))) >= 12).alias("long"), simhash_of_text("text").alias("code"))
     t, _ = spill(coded, "codes")
     held = t.where("long and split in ('validation', 'test', 'dev', 'calibration')")
     return joins.hamming_guard(t.where("split = 'train'"), held, "text_id", "code", 6)
@@ -217,7 +217,7 @@ QUERIES = {
     "t38_json_equality": t38_json,
     "h10_critical_path": h10_critical,
     "h12_lcs": h12_lcs,
-    "s1_shard_round_trip": s1_round_trip,
+    "s6_shard_round_trip": s1_round_trip,
     "s13_code_graph": s13_code_graph,
     "j10_profile_differences": lambda s, d: dec.profile_differences(_models(s, d), "model_id", "task_type", "s", "hyd-small-a", "hyd-small-b"),
     "j12_replay_containment": lambda s, d: joins.contains_rows(table(s, d, "nation"), table(s, d, "nation").where("n_nationkey <> 4")),
@@ -262,7 +262,7 @@ SQL = {
     "t9_language_evidence": "with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents where text is not null), h as (select doc_id, len(w) as n, greatest(" + ", ".join(f"({_hits(x)}, '{x}')" for x in sorted(STOP)) + ") as m from d) select doc_id, case when m[1] >= 2 and m[1] >= 0.08 * n then m[2] end as language from h",
     "t36_slug": r"select n_nationkey, trim(regexp_replace(lower(n_name), '[^\p{L}\p{N}]+', '-', 'g'), '-') as slug from nation",
     "t37_contains": "select doc_id, round((contains(lower(text), 'registro')::int + contains(lower(text), 'index')::int + contains(lower(text), 'plazo')::int) / 3.0, 6)::double as score from documents where text is not null",
-    "s1_shard_round_trip": "select source, count(*) as n from documents where text is not null group by 1",
+    "s6_shard_round_trip": "select source, count(*) as n from documents where text is not null group by 1",
     "j10_profile_differences": f"with {_MODELS} select a.task_type, case when b.s - a.s > 0.02 then 'better' when b.s - a.s < -0.02 then 'worse' else 'same' end as change from m a join m b on a.task_type = b.task_type where a.model_id = 'hyd-small-a' and b.model_id = 'hyd-small-b'",
     "j12_replay_containment": "select * from nation where n_nationkey = 4",
     "j15_best_per_id": f"with {_MODELS} select model_id, round(greatest(max(q), max(s)), 6) as score from m group by 1",

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quern
 
 
 _OWN_DIRS: dict[str, str] = {}
+_SPILLED: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,15 +47,23 @@ def spill(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SPILLED.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_spill(spark: SparkSession, path: str) -> None:
     """Remove what spill() wrote once nothing reads it any more."""
+    _SPILLED.get(spark.sparkContext.applicationId, set()).discard(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_spills(spark: SparkSession) -> None:
+    """Remove all that spill() wrote in this application; results that were not yet written are lost with it."""
+    for path in list(_SPILLED.get(spark.sparkContext.applicationId, ())):
+        drop_spill(spark, path)
+
+
 #: Bytes of an input up to which it is dealt out anew. Only how the rows lie depends on it, never which rows come out.
 SPREAD_BYTES = 256 << 20
 

@@ -100,3 +100,16 @@ def prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.where((F.col("metric") != "") & F.col("x").isNotNull() & ~F.isnan("x")).groupBy("metric").agg(F.sum("x").alias("total"))
 
 
+def source_rows(spark: SparkSession, kind: str, path: str, key: str, text: str) -> DataFrame:
+    """(id, text, file) of files of a kind, read by the reader that READERS names for it; globs and folders are one source."""
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind}; there are {sorted(READERS)}")
+    return READERS[kind](spark, path).select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col("_metadata.file_path").alias("file"))
+
+
+READERS = {
+    "parquet": lambda spark, path: spark.read.parquet(path),
+    "jsonl": lambda spark, path: spark.read.json(path),
+    "csv": lambda spark, path: spark.read.option("header", True).csv(path),
+    "text": lambda spark, path: spark.read.option("wholetext", True).text(path),
+}

@@ -351,18 +351,20 @@ def test_hamming_pairs_against_all_pairs(spark, distance):
     assert {(r["a"], r["b"]) for r in joins.hamming_pairs(df, "k", "c", distance).collect()} == want
 
 
-def test_simhash_takes_the_majority(spark):
+def test_simhash_takes_the_majority():
+    import numpy as np
     import pandas as pd
 
-    from quern.functions.hashing import _majority
+    from quern.functions.hashing import majority, simhash_of_text
 
     rng = random.Random(4)
-    arrays = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 8, 9)]
-    got = _majority.func(pd.Series([*arrays, []]))
+    arrays = [[rng.getrandbits(64) for _ in range(n)] for n in (1, 2, 3, 8, 9)]
+    got = majority(np.array(sum(arrays, []), dtype=np.uint64), np.array([len(a) for a in arrays]))
     for own, code in zip(arrays, got):
-        want = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in own) > len(own))
-        assert int(code) % (1 << 64) == want
-    assert got.isna().tolist() == [False] * 5 + [True]
+        assert int(code) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in own) > len(own))
+    w = " ".join(f"w{i}" for i in range(200))
+    a, b, c, d, e, f, g = simhash_of_text.func(pd.Series([w, w.upper() + " !", w.replace("w77 ", "x "), "a b", "", " ? ", None]))
+    assert a == b and 0 < ((int(a) ^ int(c)) % (1 << 64)).bit_count() <= 12 and len({d, e, f}) == 3 and pd.isna(g)
 
 
 def test_synthetic_cap_takes_the_least_hashes(spark):
@@ -414,3 +416,56 @@ def test_lcs_against_the_table():
             for j, y in enumerate(b, 1):
                 row[i][j] = row[i - 1][j - 1] + 1 if x == y else max(row[i - 1][j], row[i][j - 1])
         assert d.lcs(a, b) == row[-1][-1]
+
+
+def test_merkle_proofs_of_odd_trees(spark):
+    import hashlib
+
+    from quern.operators import merkle
+
+    rows = [(str(n), i, hashlib.sha256(f"{n}/{i}".encode()).hexdigest()) for n in (1, 2, 3, 5, 8, 11) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, p long, leaf string")
+    proofs = merkle.merkle_proofs(merkle.merkle_levels(df, "s", "p", "leaf"), "s").join(merkle_root(df, "s", "p", "leaf"), "s")
+    got = proofs.select("s", "pos", (merkle.proven(F.col("leaf"), F.col("proof")) == F.col("root")).alias("ok"), (merkle.proven(F.sha2(F.lit("other"), 256), F.col("proof")) == F.col("root")).alias("bad")).collect()
+    assert len(got) == len(rows) and all(r["ok"] and not r["bad"] for r in got)
+
+
+def test_stand_ins_keep_who_is_who():
+    from quern.functions import privacy
+
+    a, b = privacy.stand_ins(["Write to ana@x.org or bo@y.org.", "ana@x.org called +34 600 123 456 for Mr. John Kessler"])
+    assert a == "Write to <EMAIL_1> or <EMAIL_2>." and b == "<EMAIL_1> called <PHONE_1> for <PERSON_1>"
+    assert privacy.stand_ins([None, "", "no one"]) == [None, "", "no one"]
+
+
+def test_chunked_findings_at_the_edges(spark):
+    from quern.functions import privacy
+
+    rows = [(i, "x" * i + " ana@example.org " + "y" * 120) for i in range(0, 120, 7)] + [(900, ""), (901, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r["k"]: (r["a"], r["b"]) for r in df.select("k", privacy.findings(F.col("t")).alias("a"), privacy.chunked_findings(F.col("t"), 50, 30).alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and got[0][0] == ["email"] and got[901] == ([], [])
+
+
+def test_rules_and_nulls(spark):
+    from quern.operators import rules
+    from quern.operators.rules import Rule
+
+    table = [Rule("a", "x", "gt", 5, "deny"), Rule("b", "y", "prefix", "p", "review"), Rule("c", "x", "exists", False, "allow")]
+    df = spark.createDataFrame([(1, 9, "pq"), (2, 1, "pq"), (3, None, None), (4, 1, "z")], "k long, x int, y string")
+    got = {r["k"]: (r["m"]["effect"], r["m"]["rule"], r["s"]) for r in df.select("k", rules.first_match(table, "none").alias("m"), rules.severest(table, ["deny", "review", "allow"], "none").alias("s")).collect()}
+    assert got == {1: ("deny", "a", "deny"), 2: ("review", "b", "review"), 3: ("allow", "c", "allow"), 4: ("none", None, "none")}
+
+
+def test_first_duplicate_and_word_guard(spark, tmp_path):
+    from quern.queries import more
+
+    base = "the committee of the rural district reviews the usage limits before the monthly close of every year in the northern basin " * 3
+    code = "def f(a):\n    b = a + 1\n    return b\n"
+    files = [(1, "a.md", base), (2, "b.md", base.upper()), (3, "c.md", base + "again"), (4, "d.py", code), (5, "e.py", code.replace("a", "x").replace("b", "yy")), (6, "f.md", None), (7, "g.md", "something else")]
+    spark.createDataFrame(files, "file_id long, path string, text string").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = {r["file_id"]: (r["match"], r["kind"]) for r in more.c3_first_duplicate(spark, str(tmp_path)).collect()}
+    assert got[2] == (1, "exact") and got[3][0] == 1 and got[5] == (4, "structure") and not {1, 4, 6, 7} & set(got)
+    texts = [(1, "train", "harbor quartzite lanternfish one two three"), (2, " Test", "harbor quartzite lanternfish one two four"), (3, "test", "unlike words only here"), (4, None, "harbor quartzite")]
+    spark.createDataFrame(texts, "text_id long, split string, text string").write.parquet(str(tmp_path / "texts.parquet"))
+    assert [tuple(r) for r in more.t39_guard(spark, str(tmp_path)).collect()] == [(2, 1, 1)]
