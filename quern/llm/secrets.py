@@ -57,6 +57,21 @@ HEADER = re.compile(r"(?i)\b(basic|bearer|token)\s+([A-Za-z0-9._~+/\-]{8,}={0,2}
 OPTION = re.compile(r"(?<![\w\-])--?([A-Za-z][\w.\-]*)(?:=|[ \t]+)(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"'`\\]+)")
 SSHPASS = re.compile(r"\bsshpass\s+-p\s*(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"'`]+)")
 SQL_USER = re.compile(r"(?i)\b(?:identified\s+(?:with\s+\S+\s+)?by|(?:with\s+|encrypted\s+)password)\s+(?:password\s+)?'([^'\n]*)'")
+_WORD = r"(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"'`;|&]+)"
+#: Options of commands that take a login or a password: what has to be in the line, and the value with its quotes.
+COMMANDS = (
+    ("sshpass", SSHPASS),
+    ("by", SQL_USER),
+    ("password", SQL_USER),
+    ("curl", re.compile(r"\bcurl\b[^\n|;]*?\s(?:-u|--user|--proxy-user|-U)[ =]?[\"']?[^\s:\"'$]+:([^\s\"'`]+)")),
+    ("wget", re.compile(rf"\bwget\b[^\n|;]*?\s--(?:http-|ftp-|proxy-)?password[ =]{_WORD}")),
+    ("mysql", re.compile(rf"\bmysql(?:dump|admin|import|show)?\b[^\n|;]*?\s-p{_WORD}")),
+    ("mariadb", re.compile(rf"\bmariadb(?:-dump|-admin)?\b[^\n|;]*?\s-p{_WORD}")),
+    ("redis-cli", re.compile(rf"\bredis-cli\b[^\n|;]*?\s-a\s+{_WORD}")),
+    (" login", re.compile(rf"\b(?:docker|podman|helm|az|oc)\s+(?:registry\s+)?login\b[^\n|;]*?\s-p\s+{_WORD}")),
+    ("pass:", re.compile(r"\s-(?:pass|passin|passout|k)\s+[\"']?pass:([^\s\"'`]+)")),
+    ("htpasswd", re.compile(rf"\bhtpasswd\s+-\w*b\w*\s+\S+\s+\S+\s+{_WORD}")),
+)
 XML_TAG = re.compile(r"<([A-Za-z_][\w.\-:]*)(?:\s[^<>]*)?>\s*([^<>]*?)\s*</\1\s*>")
 XML_PAIR = re.compile(r"""<[^<>]*?\b(?:name|key|id)\s*=\s*["']([^"']*)["'][^<>]*?\bvalue\s*=\s*["']([^"'\n]*)["']""")
 #: key, then = : := or =>, then an opening quote with its prefix or the rest of the line.
@@ -77,7 +92,7 @@ YAML_NAME = re.compile(r"^(\s*-?\s*)name:\s*[\"']?([\w.\-]+)[\"']?\s*$")
 YAML_VALUE = re.compile(r"^\s*value:\s*(\"[^\"\n]*\"|'[^'\n]*'|[^\s#].*?)\s*$")
 PIECE = re.compile(r"""^\s*[+.]?\s*[bBrRuUfF]{0,2}(["'`])([^"'`\n]*)\1\s*(?:\+|\\|\)|;|,|$)""")
 #: Parts of every line that can hold a finding, in small letters.
-INTERESTING = ("pass", "pwd", "clave", "contra", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "senha", "kennwort", "chave", "chiave", "begin", "://", "value", "sk-", "sk_", "rk_", "pk_", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat", "glpat", "xox", "akia", "asia", "aiza", "eyj", "hyk.", "hf_", "npm_", "sg.", "identified", "parola", "schl", "jwt", "session", "cookie", "pat", "phrase", "frase", "mnemonic")
+INTERESTING = ("pass", "pwd", "clave", "contra", "secret", "token", "key", "cred", "auth", "bearer", "basic", "login", "senha", "kennwort", "chave", "chiave", "begin", "://", "value", "sk-", "sk_", "rk_", "pk_", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat", "glpat", "xox", "akia", "asia", "aiza", "eyj", "hyk.", "hf_", "npm_", "sg.", "identified", "parola", "schl", "jwt", "session", "cookie", "pat", "phrase", "frase", "mnemonic", "curl", "mysql", "mariadb", "redis-cli")
 _K = re.compile(r"\b[kK]\b")
 #: Keys whose value may be a phrase of plain words.
 PHRASES = ("passphrase", "mnemonic", "seedphrase", "recoveryphrase", "frasesecreta", "fraseclave", "wachtwoordzin")
@@ -358,7 +373,7 @@ def scan(text: str, path: str = "", source_kind: str = "") -> list[Finding]:
         for m in TOKEN.finditer(line):
             if literal(m[0]) and len(set(m[0])) > 6:
                 add(line_no, "token", "", (begin + m.start(), begin + m.end()))
-        for rx, sign in ((SSHPASS, "sshpass"), (SQL_USER, "by"), (SQL_USER, "password")):
+        for sign, rx in COMMANDS:
             for m in rx.finditer(line) if sign in low else ():
                 value = m[1].strip("\"'")
                 shift = 1 if m[1][:1] in "\"'" and m[1][:1] else 0

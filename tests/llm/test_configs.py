@@ -108,6 +108,21 @@ def test_redacted_toml_ini_and_xml_parse():
     assert root[0].get("password") == secrets.MARK and root[1].text.strip() == secrets.MARK and root[2].text == "a"
 
 
+@pytest.mark.parametrize("line", [
+    f"curl -u svc:{SECRET} https://cache.example/x", f"curl -s --user 'svc:{SECRET}' https://cache.example", f"mysql -u app -p{SECRET} shop", f"mysqldump -h db -p'{SECRET}' shop > x.sql", f"redis-cli -h db -a {SECRET} ping",
+    f"docker login -u svc -p {SECRET} registry.example", f"openssl rsa -in k.pem -passin pass:{SECRET}", f"htpasswd -bc file svc {SECRET}", f"wget --http-password={SECRET} https://cache.example",
+])
+def test_options_of_commands(line):
+    text = f"#!/bin/sh\n{line}\nexit 0"
+    found = secrets.scan(text, "a.sh")
+    assert [f.line_no for f in found] == [2] and secrets.redact(text, found) == text.replace(SECRET, secrets.MARK)
+
+
+@pytest.mark.parametrize("line", ["curl -u svc:$TOKEN https://x.example", "curl -u svc https://x.example", "mysql -u app -p shop", "mysql -u app -p${PASS} shop", "mysql --port 3306 shop", "redis-cli -h db ping", "docker login -u svc registry.example"])
+def test_commands_without_a_literal(line):
+    assert secrets.scan(f"#!/bin/sh\n{line}", "a.sh") == []
+
+
 @pytest.mark.parametrize("value,found", [("correct horse battery staple", True), (" ".join(["correct", "horse", "battery"] * 4), True), ("meadow copper 18 rill " * 3, True), ("must be changed before the first login", False), ("the name of the account", False)])
 def test_passphrases(value, found):
     assert bool(secrets.scan(f'passphrase = "{value.strip()}"', "a.py")) == found
