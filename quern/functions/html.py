@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+#: Elements whose text is no content, and elements that end a line.
 SKIPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside", "head", "template"}
 BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "pre", "blockquote"}
 PAGE = StructType([StructField("text", StringType()), StructField("links", ArrayType(StringType()))])

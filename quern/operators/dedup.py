@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions.hashing import hash_bucket
+from quern.functions.privacy import PATTERNS
 from quern.session import drop_spill, spill, spread
 
 BANDS, BAND_ROWS, NEAR = 14, 8, 0.8
@@ -70,30 +71,30 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Da
     return free.unionByName(state)
 
 
-def funnel(docs: DataFrame, key: str, text: str, evaluation: DataFrame | None = None, holdout: int = 2, formulaic: str | None = None) -> DataFrame:
-    """(key, reason, split): one outcome for each document: too short and the like, style, contaminated, duplicate,
-    near_duplicate, or kept (null reason) with its split.
+def funnel(docs: DataFrame, key: str, text: str, evaluation: DataFrame | None = None, holdout: int = 2, formulaic: str | None = None, licensed: Column | None = None) -> DataFrame:
+    """(key, reason, split): one outcome for each document: licence (where a condition is given that a document has to meet), too
+    short and the like, style, credential, contaminated, duplicate, near_duplicate, or kept (null reason) with its split.
 
     formulaic: a boolean column of documents that repeat phrases by nature (official law), for which the n-gram rules don't hold.
 
     Cheap rules come first; only survivors are hashed, and only distinct survivors get a signature. Equal copies of a
     near-duplicate reject are near duplicates too, as the copies of a class share its fate but for the first of a kept one."""
-    basic = docs.select(key, text, (~F.col(formulaic) if formulaic else F.lit(True)).alias("__prose")).withColumn("basic", tx.basic_reason(F.col(text)))
+    admitted = F.lit(True) if licensed is None else F.coalesce(licensed, F.lit(False))
+    basic = docs.select(key, text, admitted.alias("__licensed"), (~F.col(formulaic) if formulaic else F.lit(True)).alias("__prose")).withColumn("basic", F.when(~F.col("__licensed"), "licence").otherwise(tx.basic_reason(F.col(text))))
     judged = tx.with_quality(basic, text, min_words=20, repetition=F.col("basic").isNull() & F.coalesce("__prose", F.lit(True))).select(key, text, F.coalesce("basic", "quality").alias("reason"))
+    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col(text).rlike(PATTERNS["credential"]), "credential")))
     judged, _ = spill(judged, "judged")
     passed = judged.where("reason is null").select(F.col(key).alias("id"), F.col(text).alias("text"))
-    if evaluation is not None:
-        leaked = contaminated(passed, evaluation, "id", "text").withColumn("leaked", F.lit(True))
-        passed = passed.join(leaked, "id", "left")
+    if evaluation is not None:  # ids only: texts are written once
+        leaked, _ = spill(contaminated(passed, evaluation, "id", "text"), "leaked")
     else:
-        passed = passed.withColumn("leaked", F.lit(None).cast("boolean"))
-    passed, _ = spill(passed, "passed")
-    clean = passed.where("leaked is null").select("id", "text")
+        leaked = passed.select("id").limit(0)
+    clean = passed.join(leaked, "id", "left_anti")
     groups, _ = spill(exact_groups(clean, "id", "text"), "groups")
     firsts = clean.join(groups.where("id = first").select("id"), "id", "left_semi")
     kept = greedy_keep(firsts.select("id"), near_edges(firsts, "id", "text"))
     fate = groups.join(kept.select(F.col("id").alias("first"), "kept"), "first").select("id", F.when(~F.col("kept"), "near_duplicate").when(F.col("id") != F.col("first"), "duplicate").alias("fate"))
-    outcome = judged.select(F.col(key), "reason").join(passed.select(F.col("id").alias(key), "leaked"), key, "left").join(fate.select(F.col("id").alias(key), "fate"), key, "left")
+    outcome = judged.select(F.col(key), "reason").join(leaked.select(F.col("id").alias(key), F.lit(True).alias("leaked")), key, "left").join(fate.select(F.col("id").alias(key), "fate"), key, "left")
     reason = F.coalesce("reason", F.when(F.col("leaked"), "contaminated"), "fate")
     split = F.when(reason.isNull(), F.when(hash_bucket(F.col(key).cast("string"), 100) < holdout, "validation").otherwise("train"))
     return outcome.select(key, reason.alias("reason"), split.alias("split"))

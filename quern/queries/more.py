@@ -264,7 +264,7 @@ QUERIES = {
     "s22_edge_sync": s22_sync,
     "t2_normalized": lambda s, d: _docs(s, d).select("doc_id", tx.normalize_corpus("text").alias("text")),
     "t5_scan_repaired": lambda s, d: _docs(s, d).select("doc_id", df_.repair_scan_udf("text").alias("text")),
-    "t6_scan_cleaned": lambda s, d: _docs(s, d).select("doc_id", df_.clean_scan_udf("text").alias("text")),
+    "t6_scan_cleaned": lambda s, d: _docs(s, d).select("doc_id", df_._on("string", lambda t: df_.clean_scan(t, frozenset(w for ws in STOP.values() for w in ws)))("text").alias("text")),
     "t7_chunk_rows": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(df_.chunks_udf("text")).alias("pos", "chunk")),
     "t13_top_ngram_all": lambda s, d: _docs(s, d).select("doc_id", tx.ngram_repetition(F.col("text")).alias("r")).select("doc_id", *[F.round(F.col("r")[i], 6).alias(n) for i, n in enumerate(("top2", "top3", "top4", "dup5"))]),
     "c13_compiled": lambda s, d: table(s, d, "cognitive_traces").where("length(final_answer) > 0 and verifier_score >= 0.9").groupBy("trace_id").agg(F.max("final_answer").alias("answer")).select("trace_id", F.to_json(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))).alias("row")),
@@ -274,6 +274,9 @@ _BLANKS = r"[\t\f\v\x1c-\x1f\x85 \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 _FOUND = "list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in privacy.PATTERNS.items()) + "], lambda x: x is not null)"
 _UWORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x85\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')"
 
+#: Words as the JVM sees them: signs that join others are part of a word.
+_JOINED = _TOKENS.replace(r"\p{Pc}]", r"\p{Pc}\x{200c}\x{200d}]")
+
 
 def _hits(lang):
     letters = "".join(f" + case when contains(lower(text), '{c}') then 0.75 else 0 end" for c in LETTERS[lang])
@@ -318,6 +321,6 @@ SQL = {
 SQL |= {
     "t11_style": f"with d as (select doc_id, text, {_WORDS} as w, {_LINES} as l from documents where text is not null) select doc_id, case when len(w) > 0 then round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) else 0 end::double as mean_word, case when len(w) > 0 then round((length(text) - length(replace(text, '#', '')) + len(regexp_extract_all(text, '\\.\\.\\.|…'))) / len(w), 6) else 0 end::double as symbol_ratio, case when len(w) > 0 then round(len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) / len(w), 6) else 0 end::double as alpha_words, case when len(l) > 0 then round(len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)$'))) / len(l), 6) else 0 end::double as ellipsis_lines, case when len(l) > 0 then round(len(list_filter(l, lambda x: regexp_matches(x, '^(?:\\p{{Pd}}|[*+\\x{{2022}}\\x{{2023}}\\x{{25aa}}\\x{{25cf}}\\x{{25e6}}\\x{{00b7}}]|(?:[0-9]{{1,3}}|\\p{{L}})[.)])(?:[\\s\\x{{00a0}}]|$)'))) / len(l), 6) else 0 end::double as bullet_lines from d",
     "t4_basic_reason": f"with d as (select text, {_LINES} as l, length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]|\\x{{fffd}}', '', 'g')) as odd from documents) select case when text is null or length(text) < 200 then 'too_short' when odd > 0.02 * length(text) then 'unprintable' when len(l) >= 20 and len(list_distinct(l)) < 0.5 * len(l) then 'repeated_lines' else 'ok' end as reason, count(*) as n from d group by 1",
-    "t29_token_jaccard": f"with x as (select doc_id, list_distinct({_TOKENS}) as w from documents where length(text) > 0), p as (select a.doc_id, len(list_intersect(a.w, b.w)) as shared, len(a.w) + len(b.w) as n from x a join x b on b.doc_id - 1 = a.doc_id) select doc_id, round(case when n > 0 then shared / (n - shared) else 1 end, 6)::double as jaccard from p",
+    "t29_token_jaccard": f"with x as (select doc_id, list_distinct({_JOINED}) as w from documents where length(text) > 0), p as (select a.doc_id, len(list_intersect(a.w, b.w)) as shared, len(a.w) + len(b.w) as n from x a join x b on b.doc_id - 1 = a.doc_id) select doc_id, round(case when n > 0 then shared / (n - shared) else 1 end, 6)::double as jaccard from p",
     "a46_temperature": "with r as (select case when success then ln(task_confidence / (1 - task_confidence)) else -ln(task_confidence / (1 - task_confidence)) end as z from inference_runs where task_confidence > 0 and task_confidence < 1 and success is not null), g as (select i, exp(-3 + 6 * i / 60.0) as t from unnest(range(0, 61)) as u(i)), s as (select i, t, avg(ln(1 + exp(-z / t))) as nll from r, g group by all) select round(t, 5)::double as temperature, round(nll, 5)::double as nll from s order by s.nll, i limit 1",
 }

@@ -31,6 +31,7 @@ QUERIES = {
     "r_once": lambda s, d: streams.drain(streams.once(_events(s, d), "event_id", "ts")).groupBy("event_type").agg(F.count("*").alias("n")),
     "r_running": lambda s, d: streams.drain(streams.running(_events(s, d), ["event_type"], n=F.count("*"), total=F.sum("value")), "complete").select("event_type", "n", F.round("total", 2).alias("total")),
     "r_spans": lambda s, d: streams.drain(streams.spans(_events(s, d), "user_id", "ts", "event_type", "click", "purchase")).groupBy("state").agg(F.count("*").alias("n")),
+    "r7_transitions": lambda s, d: streams.drain(streams.transitions(_events(s, d), "user_id", "ts", "event_type", {("*", "click"): "clicked", ("*", "purchase"): "bought", ("*", "error"): "failed"}, "new", order="event_id")).groupBy("before", "after").agg(F.count("*").alias("n")),
     "s9_flat_columns": lambda s, d: files.flat_columns(table(s, d, "source_files").select("file_id", "detected_licenses")),
     "s11_log_range": lambda s, d: files.read_log(files.numbered(table(s, d, "task_events").where("source is not null").select("source", "id", "created_at", "ingested_at"), "source", [F.col("created_at"), F.col("id"), F.col("ingested_at")]), 10, 20).select("source", "id", "seq"),
     "s14_html_text": s14_html,
@@ -44,6 +45,7 @@ SQL = {
     "r_sessions": f"with m as (select *, case when ts >= lag(ts) over w + interval 30 minutes or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from m) select user_id, min(ts) as start, count(*) as n from g group by user_id, s having max(ts) + interval 30 minutes <= ({_CLOSED})",
     "r_once": "select event_type, count(*) as n from events group by 1",
     "r_running": "select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1",
+    "r7_transitions": "with x as (select user_id, ts, event_id, case event_type when 'click' then 'clicked' when 'purchase' then 'bought' else 'failed' end as after from events where event_type in ('click', 'purchase', 'error')), m as (select after, coalesce(lag(after) over (partition by user_id order by ts, event_id), 'new') as before from x) select before, after, count(*) as n from m where before <> after group by all",
     "s11_log_range": "select source, id, seq from (select source, id, row_number() over (partition by source order by created_at, id, ingested_at) as seq from task_events where source is not null) where seq > 10 and seq <= 20",
     "s14_html_text": "select n_nationkey, 'Land ' || n_name || ' & ' || n_regionkey || chr(10) || 'more' as text, '/n/' || n_nationkey as link from nation",
     "s16_prometheus": "select 'latency_ms' as metric, round(sum(round(latency_ms, 2)), 2) as total from inference_runs where model_id is not null",

@@ -31,6 +31,13 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def follow(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append what is new since the last call with this checkpoint to a table, and read the table: the checkpoint holds the cursor
+    and the state of the keys, so a stream that was stopped or lost goes on where it was, and no file is taken twice."""
+    stream.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def once(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """Redelivered rows that come within the delay are dropped; state is bounded by it."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -83,3 +90,36 @@ def spans(stream: DataFrame, key: str, ts: str, kind: str, opens: str, closes: s
 
     slim = stream.withWatermark(ts, delay).where(F.col(kind).isin(opens, closes)).select(F.col(key).cast("string").alias("key"), F.col(ts), F.unix_micros(ts).alias("at"), F.col(kind).alias("what"))
     return slim.groupBy("key").applyInPandasWithState(step, SPAN, "held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+MOVED = "key string, at timestamp, event string, before string, after string"
+
+
+def transitions(stream: DataFrame, key: str, ts: str, event: str, table: dict[tuple[str, str], str], start: str, order: str | None = None, idle_ms: int | None = None, delay: str = "1 hour") -> DataFrame:
+    """Moves of a state machine kept for each key: table tells the state that an event leads to from a state ("*" for any); an
+    event without an entry leaves it. Only moves come out. A key that had no event for idle_ms is forgotten and starts anew
+    (retention), else its state, one word, is kept. order: a column that tells events of the same time apart."""
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            now = state.get[0] if state.exists else start
+            rows = pd.concat(list(frames), ignore_index=True).sort_values(["at", "tie"], kind="stable")
+            for what, at in zip(rows["what"], rows["at"]):
+                after = table.get((now, what), table.get(("*", what), now))
+                if after != now:
+                    out.append((group[0], pd.Timestamp(int(at), unit="us", tz="UTC"), what, now, after))
+                    now = after
+            state.update((now,))
+            if idle_ms is not None:
+                state.setTimeoutTimestamp(max(int(rows["at"].max()) // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        moved = pd.DataFrame(out, columns=["key", "at", "event", "before", "after"])
+        yield moved.assign(at=pd.to_datetime(moved["at"], utc=True), **{c: moved[c].astype(object) for c in ("key", "event", "before", "after")})
+
+    tie = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
+    known = sorted({what for _, what in table})
+    slim = stream.withWatermark(ts, delay).where(F.col(event).isin(*known)).select(F.col(key).cast("string").alias("key"), F.col(ts), F.unix_micros(ts).alias("at"), F.col(event).alias("what"), tie.alias("tie"))
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    return slim.groupBy("key").applyInPandasWithState(step, MOVED, "now string", "append", timeout)

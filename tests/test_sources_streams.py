@@ -78,3 +78,24 @@ def test_windows_and_duplicates(spark, events):
 def test_spans(spark, events):
     got = streams.drain(streams.spans(events, "u", "ts", "kind", "open", "close"))
     assert got.where("state = 'closed' and ended >= started").count() == got.where("state = 'closed'").count() > 10
+
+
+def test_states_go_on_after_a_restart(spark, tmp_path):
+    t = datetime(2025, 1, 1)
+    table = {("new", "deploy"): "shadow", ("shadow", "good"): "canary", ("canary", "good"): "live", ("*", "bad"): "rolled_back"}
+    schema = "id int, ts timestamp_ntz, k string, e string"
+
+    def write(name, rows):
+        spark.createDataFrame([(i, t + timedelta(minutes=m), k, e) for i, (m, k, e) in enumerate(rows)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = streams.tail(spark, str(tmp_path / "in" / "*"), schema, "ts")
+        moves = streams.transitions(stream, "k", "ts", "e", table, "new", order="id")
+        return sorted((r["key"], r["before"], r["after"]) for r in streams.follow(moves, str(tmp_path / "out"), str(tmp_path / "check")).collect())
+
+    write("a", [(0, "x", "deploy"), (1, "x", "good"), (2, "y", "deploy"), (2, "z", "good"), (3, "y", "noise")])
+    first = run()
+    assert first == [("x", "new", "shadow"), ("x", "shadow", "canary"), ("y", "new", "shadow")]
+    assert run() == first  # nothing new, nothing twice
+    write("b", [(5, "x", "good"), (6, "y", "bad"), (7, "z", "deploy")])
+    assert run() == sorted([*first, ("x", "canary", "live"), ("y", "shadow", "rolled_back"), ("z", "new", "shadow")])
