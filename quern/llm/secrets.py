@@ -21,6 +21,7 @@ import binascii
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -124,6 +125,7 @@ def _flat(key: str) -> str:
     return re.sub(r"[^a-z0-9]", "", key.lower().replace("ñ", "n").replace("ç", "c").replace("é", "e"))
 
 
+@lru_cache(maxsize=100_000)
 def sensitivity(key: str) -> int:
     """2 for a key that names a credential, 1 for one that may hold one, else 0."""
     words = [w for w in re.split(r"[^A-Za-z0-9À-ÿ]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key.strip("\"'`]"))) if w]
@@ -228,6 +230,10 @@ def _bare_end(text: str, start: int, end: int) -> int:
     return start + len(value)
 
 
+_HEADING = re.compile(r"^\s*\[+([^\]\"']+)\]+\s*(?:#.*)?$")
+_OPENING = re.compile(r"""^(\s*)(?:-\s+)?["']?([\w.\-]+)["']?\s*(?::\s*\{?|\s*(?:=\s*)?\{|:\s*[|>][+-]?)\s*$""")
+
+
 class _Path:
     """The key path of the current line: nesting by indent, or by section header."""
 
@@ -235,9 +241,9 @@ class _Path:
         self.section, self.stack = "", []
 
     def enter(self, line: str) -> None:
-        if m := re.match(r"^\s*\[+([^\]\"']+)\]+\s*(?:#.*)?$", line):
+        if "[" in line and (m := _HEADING.match(line)):
             self.section, self.stack = m[1].strip(), []
-        elif m := re.match(r"""^(\s*)(?:-\s+)?["']?([\w.\-]+)["']?\s*(?::\s*\{?|\s*(?:=\s*)?\{|:\s*[|>][+-]?)\s*$""", line):
+        elif (":" in line or "{" in line) and (m := _OPENING.match(line)):
             depth = len(m[1])
             while self.stack and self.stack[-1][0] >= depth:
                 self.stack.pop()
