@@ -11,6 +11,7 @@ from quern.operators import dedup, evidence, joins, merkle, rules, windows
 from quern.operators.rules import Rule
 from quern.operators.topk import cosine_topk, similar
 from quern.queries.corpus import _LINES, _TOKENS, _WORDS
+from quern.queries.extended import SQL as _EXTENDED
 from quern.queries.extended import STOP
 from quern.session import spill, spread
 from quern.sources import files
@@ -324,3 +325,13 @@ SQL |= {
     "t29_token_jaccard": f"with x as (select doc_id, list_distinct({_JOINED}) as w from documents where length(text) > 0), p as (select a.doc_id, len(list_intersect(a.w, b.w)) as shared, len(a.w) + len(b.w) as n from x a join x b on b.doc_id - 1 = a.doc_id) select doc_id, round(case when n > 0 then shared / (n - shared) else 1 end, 6)::double as jaccard from p",
     "a46_temperature": "with r as (select case when success then ln(task_confidence / (1 - task_confidence)) else -ln(task_confidence / (1 - task_confidence)) end as z from inference_runs where task_confidence > 0 and task_confidence < 1 and success is not null), g as (select i, exp(-3 + 6 * i / 60.0) as t from unnest(range(0, 61)) as u(i)), s as (select i, t, avg(ln(1 + exp(-z / t))) as nll from r, g group by all) select round(t, 5)::double as temperature, round(nll, 5)::double as nll from s order by s.nll, i limit 1",
 }
+_NORMAL, _BELIEFS = SQL["t2_normalized"], _EXTENDED["c28_belief_fold"]
+_STOP = ", ".join(repr(w) for w in STOP["en"] + STOP["es"])
+SQL |= {
+    "t2_normalize": f"select doc_id, length(text)::int as n from ({_NORMAL})",
+    "t13_top_ngram": f"select doc_id, top2, top3, top4 from ({SQL['t13_top_ngram_all']}) union all select doc_id, 0, 0, 0 from documents where text is null",
+    "t10_oov": f"with d as (select doc_id, unnest({_JOINED}) as w from documents where text is not null), c as (select doc_id, w, count(*) as n from d where regexp_full_match(w, '\\p{{L}}{{2,}}') group by all), r as (select w from c group by 1 having count(*) < 3) select doc_id, round(sum(case when w in (select w from r) then n else 0 end) / sum(n), 6)::double as oov from c group by 1",
+    "s9_flat_columns": "select file_id, case when detected_licenses is not null then to_json(detected_licenses)::varchar end as detected_licenses from source_files",
+    "t30_containment": f"with t as (select distinct on (trace_id) trace_id, {_JOINED.replace('text', 'final_answer')} as a, {_JOINED.replace('text', 'input')} as b from cognitive_traces), x as (select trace_id, list_filter(list_distinct(a), lambda w: w not in ({_STOP})) as own, b from t) select trace_id, round(case when len(own) > 0 then len(list_intersect(own, b)) / len(own) else 0 end, 6)::double as share from x",
+    "a24_conflicts": f"with b as ({_BELIEFS}), r as (select *, row_number() over (partition by task_type order by confidence desc, model_id) as k from b where confidence >= 0) select task_type, count(*) as values, round(max(confidence) filter (where k = 1) - max(confidence) filter (where k = 2), 4) as gap, max(model_id) filter (where k = 1) as leading from r group by 1 having count(*) > 1",
+}
