@@ -469,3 +469,31 @@ def test_first_duplicate_and_word_guard(spark, tmp_path):
     texts = [(1, "train", "harbor quartzite lanternfish one two three"), (2, " Test", "harbor quartzite lanternfish one two four"), (3, "test", "unlike words only here"), (4, None, "harbor quartzite")]
     spark.createDataFrame(texts, "text_id long, split string, text string").write.parquet(str(tmp_path / "texts.parquet"))
     assert [tuple(r) for r in more.t39_guard(spark, str(tmp_path)).collect()] == [(2, 1, 1)]
+
+
+def test_critical_paths_of_many_plans_at_once(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for p in [None, *range(400)]:
+        n = rng.choice((1, 2, 5, 9))
+        nodes = rng.sample([None, *range(-3, 12)], n)
+        steps = [(p, x, rng.choice((-2.0, 1.0, 3.5)), rng.choice((None, [], [rng.choice([*nodes, 99, None]) for _ in range(2)]))) for x in nodes]
+        rows += steps
+        done, left = {}, steps
+        while True:
+            now = [s for s in left if all(d in done for d in s[3] or () if d is not None and d in nodes)]
+            if not now:
+                break
+            done |= {s[1]: s[2] + max((done[d] for d in s[3] or () if d is not None and d in nodes), default=0.0) for s in now}
+            left = [s for s in left if s not in now]
+        want[p] = (n, None if left else max(done.values()), bool(left))
+    rows += [(1000, i, 1.0, [i + 1]) for i in range(20_000)] + [(1001, 1, None, None), (1001, 2, 5.0, [1])]
+    want |= {1000: (20_000, 20_000.0, False), 1001: (2, None, False)}
+    rng.shuffle(rows)
+    out = decisions.critical_paths(spark.createDataFrame(rows, "plan long, node long, cost double, depends array<long>"))
+    got = {r["plan"]: (r["steps"], r["critical"], r["cyclic"]) for r in out.collect()}
+    assert got == want and len({c for _, _, c in want.values()}) == 2
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # one call for each plan
+    names = spark.createDataFrame([(7, "b", 2.0, ["a"]), (7, "a", 1.0, []), (7, "c", 9.0, ["c"]), (8, "a", 4.0, ["b"]), (8, "a", None, []), (8, "a", 3.0, [])], "plan int, node string, cost double, depends array<string>")
+    assert {tuple(r) for r in decisions.critical_paths(names).collect()} == {(7, 3, None, True), (8, 1, 4.0, False)}
+    assert decisions.critical_paths(names.limit(0)).count() == 0
