@@ -497,3 +497,27 @@ def test_critical_paths_of_many_plans_at_once(spark):
     names = spark.createDataFrame([(7, "b", 2.0, ["a"]), (7, "a", 1.0, []), (7, "c", 9.0, ["c"]), (8, "a", 4.0, ["b"]), (8, "a", None, []), (8, "a", 3.0, [])], "plan int, node string, cost double, depends array<string>")
     assert {tuple(r) for r in decisions.critical_paths(names).collect()} == {(7, 3, None, True), (8, 1, 4.0, False)}
     assert decisions.critical_paths(names.limit(0)).count() == 0
+
+
+def test_proofs_of_whole_streams_by_blocks(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__ as entry
+    from quern.operators import merkle
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(str(n), i, h(f"{n}/{i}")) for n in (1, 2, 3, 63, 64, 65, 128, 129, 4097) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, p long, leaf string")
+    roots = dict(map(tuple, merkle_root(df, "s", "p", "leaf").collect()))
+    got = merkle.proven_leaves(df, "s", "p", F.col("leaf")).collect()
+    assert {r["s"]: (r["root"], r["leaves"], r["proven"]) for r in got} == {s: (root, int(s), int(s)) for s, root in roots.items()}
+    levels = merkle.block_levels([h(str(i)).encode() for i in range(5)], 3)
+    proof = merkle.block_proof(levels, 4)
+    assert merkle.leads_to(levels[0][4], proof) == levels[-1][0] != merkle.leads_to(levels[0][3], proof)
+    orders = [(i * 7 % 3001, random.Random(i).choice((None, "F", "O")), f"p{i % 5}") for i in range(3001)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    counts = Counter(s for _, s, _ in orders)  # orders without a status are a stream as well, as in SQL
+    assert {tuple(r) for r in entry.queries()["h3_merkle_proofs"](spark, str(tmp_path)).collect()} == {(s, n, n) for s, n in counts.items()}
+    placed = merkle.placed(spark.createDataFrame(orders, "k long, s string, x string"), "s", "k").collect()
+    want = {s: sorted(k for k, t, _ in orders if t == s) for s in counts}
+    assert len(placed) == 3001 and all(want[r["s"]][r["pos"]] == r["k"] for r in placed)
