@@ -213,3 +213,24 @@ def test_jaccard_counts_occurrences():
 @pytest.mark.parametrize("value,want", [(" Train ", "train"), ("unassigned", None), ("", None), (None, None), ("DEV", "dev")])
 def test_split_names(value, want):
     assert neardup.split_name(value) == want
+
+
+def test_bins_drop_no_pair_within_the_limit(spark):
+    from quern.functions import minwise
+
+    rng = random.Random(31)
+    pairs = []
+    for i in range(600):
+        n = rng.choice((1, 4, 30, 120, 700))
+        vocabulary = rng.choice((2, 50, 400))
+        a = [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+        b = list(a) if i % 3 else [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+        for _ in range(rng.randrange(1 + n // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.choice((0, 1))] = [f"x{rng.randrange(300)}"] * rng.choice((0, 1))
+        pairs.append((a, b or ["z"]))
+    counts = [neardup.binned(*minwise.flat([p[k] for p in pairs], minwise.WordHashes())) for k in (0, 1)]
+    rows = [(i, i, len(a), len(b), bytearray(x.tobytes()), bytearray(y.tobytes())) for i, ((a, b), x, y) in enumerate(zip(pairs, *counts))]
+    kept = {r["a"] for r in neardup._by_bins(spark.createDataFrame(rows, "a long, b long, n_a int, n_b int, bins_a binary, bins_b binary"), 0.25).collect()}
+    near = {i for i, (a, b) in enumerate(pairs) if neardup.edit_distance(a, b) <= 0.25 * max(len(a), len(b))}
+    assert near <= kept and 100 < len(near) and len(kept - near) < 0.5 * (len(pairs) - len(near))
